@@ -124,8 +124,8 @@ def test_one_edit(a, b):
 def test_parts_encode_like_whole_texts(documents, hostile):
     texts = [r["text"] or "" for r in documents.union(hostile.select(documents.columns)).collect()]
     whole = Tokenizer.from_file(BYTE).encode_batch(texts, add_special_tokens=False)
-    enc = pieces.PartEncoder(BYTE, "byte", limit=500)
-    assert [np.frombuffer(b, "<u4").tolist() for b in enc.ids(texts)] == [e.ids for e in whole]
+    for enc in (pieces.PartEncoder(BYTE, "byte", limit=500), pieces.ByteEncoder(BYTE)):
+        assert [np.frombuffer(b, "<u4").tolist() for b in enc.ids(texts)] == [e.ids for e in whole]
     whole = Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)
     assert pieces.PartEncoder(WORD, "word", limit=500).counts(texts) == [len(e.ids) for e in whole]
 
@@ -135,11 +135,26 @@ def test_parts_encode_like_whole_texts(documents, hostile):
 def test_parts_encode_odd_texts(texts):
     for kind, path in (("byte", BYTE), ("word", WORD)):
         enc = pieces.encoder(path, kind)
-        whole = [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+        whole = [e.ids for e in getattr(enc, "parts", enc).tok.encode_batch(texts, add_special_tokens=False)]
         got = [np.frombuffer(b, "<u4").tolist() for b in enc.ids(texts)] if kind == "byte" else enc.counts(texts)
         assert got == (whole if kind == "byte" else [len(x) for x in whole])
 
 
+def test_all_common_characters():
+    enc = pieces.ByteEncoder(BYTE)
+    texts = [f"{a}{chr(c)}{b}" for c in [*range(0x250), *range(0x2010, 0x2028)] for a, b in (("", ""), ("a", "a"), (" ", " "), ("1", " 1"), ("\n", "x"), ("'", "s"))]
+    assert all(map(enc._common, texts)) and not enc._common("字") and not enc._common("a<|endoftext|>") and not enc._common("z" * 5000)
+    want = [e.ids for e in enc.parts.tok.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.ids(texts)] == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x24F), max_size=60))
+def test_common_texts(text):
+    enc = pieces.encoder(BYTE, "byte")
+    assert np.frombuffer(enc.ids([text])[0], "<u4").tolist() == enc.parts.tok.encode(text, add_special_tokens=False).ids
+
+
 def test_long_text_in_segments():
     text = "alpha  beta\n gamma's 12 " * 400
     assert "".join(pieces.segments(text, 100)) == text and len(list(pieces.segments(text, 100))) > 50
@@ -388,7 +403,7 @@ def test_links_by_lists_and_by_balls(spark):
     part = defaultdict(set)
     for s, w in zip(signed, want):
         part[w].add(s)
-    for segments, dense in ((2, 48), (3, 2)):
+    for segments, dense in ((2, 256), (3, 2), (4, 256)):
         found = components.components(simhash.near_links(nodes, 4, segments, dense))
         root = dict.fromkeys(signed) | {r["node"]: r["root"] for r in found.collect()}
         got = defaultdict(set)
