@@ -2,15 +2,14 @@
 
 Fingerprints have 64 bits; a bit is 1 if it is set in over half the shingle hashes. Equal
 fingerprints are one node. Fingerprints within `radius` bits are found so: cut into
-`segments` parts, two of them differ in at most radius // segments bits of some part. Each
-fingerprint is filed under its parts, and looks up the small Hamming ball of each part; of
-two different parts only the larger looks the smaller up. Candidates are then verified over
-all 64 bits.
+segments with a ball for each (see layout), two of them lie within the ball of some segment.
+Each fingerprint is filed under its parts, and looks up the small Hamming ball of each part;
+of two different parts only the larger looks the smaller up. Candidates are then verified
+over all 64 bits.
 
-A list with over `dense` members isn't paired. Its members go to an exact other way: two
-fingerprints are within 2 r bits just if their Hamming balls of radius r share a point, so
-each emits the points of its ball, and all that share a point are linked to the least of
-them: linear in the list, no pairs, no cap.
+A list with over `dense` members isn't paired: see denselinks. Its least member is linked
+to all within the radius, only the others are compared with the list, in blocks that each
+give back a spanning forest: all links are respected, no pairs are made, there is no cap.
 
 Texts with no words have fingerprint zero, linked like others. Null text counts as empty.
 Repeated rows share a component. An empty table gives no rows.
@@ -23,12 +22,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
 from .components import components
+from .denselinks import dense_links
 
 BLOCK = 1 << 14
 
@@ -64,82 +64,71 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def parts(segments: int) -> list[tuple[int, int]]:
-    """(shift, width) of the segments of 64 bits."""
-    edges = [64 * i // segments for i in range(segments + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def layout(radius: int, segments: int) -> list[tuple[int, int, int]]:
+    """(shift, width, ball) of the segments of 64 bits.
 
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+    If each segment i differed in more than ball_i bits, the whole would in at least the sum
+    of ball_i + 1; so balls that sum to radius - segments + 1 are enough. Segments with a
+    larger ball are made wider, which keeps the lists of all about equally short.
+    """
+    spare = radius - segments + 1
+    if spare < 0:
+        raise ValueError("more segments than differing bits")
+    balls = [spare // segments + (i < spare % segments) for i in range(segments)]
+    if max(balls) > 2:
+        raise ValueError("too few segments: balls of over 2 bits")
+    widths = [int(64 / segments + 5 * (b - spare / segments)) for b in balls]
+    widths[0] += 64 - sum(widths)
+    return [(sum(widths[:i]), w, b) for i, (w, b) in enumerate(zip(widths, balls))]
 
 
 def filed(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
     """key, fp, home: every fingerprint at its own parts (home) and at the parts that it looks up."""
-    ball = radius // segments
-    if ball > 2:
-        raise ValueError("segments must leave balls of at most 2 bits")
     rows = []
-    for s, (shift, width) in enumerate(parts(segments)):
-        mask = (1 << width) - 1
-        part = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(mask))
+    for s, (shift, width, ball) in enumerate(layout(radius, segments)):
+        part = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
+        rows.append(nodes.select("fp", F.lit(s).alias("seg"), part.alias("part"), F.lit(True).alias("home")))
         # Of two parts that differ in a few bits, the larger number looks the smaller up.
         flips = [sum(1 << i for i in c) for k in range(1, ball + 1) for c in combinations(range(width), k)]
-        keys = F.array(*[F.lit(v).cast("long") for v in flips])
-        keys = F.transform(F.filter(keys, lambda v: part.bitwiseXOR(v) < part), lambda v: part.bitwiseXOR(v))
-        rows.append(nodes.select("fp", F.lit(s).alias("seg"), part.alias("part"), F.lit(True).alias("home")))
-        if ball:
-            rows.append(nodes.select("fp", F.lit(s).alias("seg"), F.explode(keys).alias("part"), F.lit(False).alias("home")))
+        if flips:
+            near = F.transform(F.filter(F.array(*[F.lit(v).cast("long") for v in flips]), _smaller(part)), _flip(part))
+            rows.append(nodes.select("fp", F.lit(s).alias("seg"), F.explode(near).alias("part"), F.lit(False).alias("home")))
     lists = rows[0]
     for more in rows[1:]:
         lists = lists.unionByName(more)
     return lists.select("fp", "home", F.col("part").bitwiseOR(F.shiftleft(F.col("seg").cast("long"), 40)).alias("key"))
 
 
-def near_links(nodes: DataFrame, radius: int = 4, segments: int = 3, dense: int = 48) -> DataFrame:
+def _smaller(part: Column):
+    return lambda v: part.bitwiseXOR(v) < part
+
+
+def _flip(part: Column):
+    return lambda v: part.bitwiseXOR(v)
+
+
+def near_links(nodes: DataFrame, radius: int = 4, segments: int = 3, dense: int = 256) -> DataFrame:
     """x, y: pairs of distinct fingerprints within radius bits, for long lists only those that join them."""
     lists = filed(nodes, radius, segments)
     sizes = lists.groupBy("key").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("homes > 0 and n > 1")
-    met = materialize(lists.join(sizes, "key").select("key", "fp", "home", "n"), "lists")
+    # The lists come from a small table but aren't small: never to be broadcast.
+    met = materialize(lists.hint("merge").join(sizes, "key").select("key", "fp", "home", "n"), "lists")
     groups = met.where(F.col("n") <= dense).groupBy("key").agg(F.collect_list(F.struct("fp", "home")).alias("g"))
-    pairs = groups.select(F.filter("g", lambda m: m["home"]).alias("to"), F.explode("g").alias("q")).select(F.col("q.fp").alias("x"), F.col("q.home").alias("home"), F.explode("to.fp").alias("y"))
-    near = pairs.where((F.col("x") != F.col("y")) & (~F.col("home") | (F.col("x") < F.col("y"))) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius)).select("x", "y")
-    hot = materialize(met.where(F.col("n") > dense).select("fp").distinct(), "hot")
-    if not hot.isEmpty():
-        near = near.unionByName(dense_links(hot, radius))
-    return near.distinct()
-
-
-def dense_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Links of nodes by shared points of their balls: exact, linear, no pairs."""
-    if radius % 2:
-        raise ValueError("the ball way needs an even radius")
-    masks = [0]
-    for k in range(1, radius // 2 + 1):
-        masks += [sum(1 << i for i in c) for c in combinations(range(64), k)]
-    bits = np.array(masks, np.uint64).view(np.int64)
-    nodes = nodes.repartition(max(8, nodes.sparkSession.sparkContext.defaultParallelism * 4), "fp")
 
-    def run(batches):
-        for b in batches:
-            fps = b.column(0).to_numpy(zero_copy_only=False)
-            for a in range(0, len(fps), 64):
-                some = fps[a : a + 64]
-                yield pa.RecordBatch.from_arrays([pa.array((some[:, None] ^ bits[None, :]).ravel()), pa.array(np.repeat(some, len(bits)))], names=["point", "fp"])
+    def verified(q: Column) -> Column:
+        ok = lambda t: t["home"] & (t["fp"] != q["fp"]) & (~q["home"] | (q["fp"] < t["fp"])) & (F.bit_count(t["fp"].bitwiseXOR(q["fp"])) <= radius)
+        return F.transform(F.filter("g", ok), lambda t: F.struct(q["fp"].alias("x"), t["fp"].alias("y")))
 
-    points = nodes.select("fp").mapInArrow(run, "point long, fp long")
-    hubs = points.groupBy("point").agg(F.min("fp").alias("y"), F.max("fp").alias("z"), F.count("*").alias("n")).where("n > 1")
-    # Points with two members give their pair at once; larger ones give every member its hub.
-    pairs = hubs.where("n = 2").select(F.col("y").alias("x"), F.col("z").alias("y"))
-    big = points.join(hubs.where("n > 2").select("point", "y"), "point").where("fp <> y").select(F.col("fp").alias("x"), "y")
-    return pairs.unionByName(big).distinct()
+    near = groups.select(F.explode(F.flatten(F.transform("g", verified))).alias("p")).select("p.x", "p.y")
+    hot = materialize(met.where(F.col("n") > dense).select("key", F.col("fp").alias("node"), F.array("fp").alias("fp")).distinct(), "hot")
+    return near.unionByName(dense_links(hot, radius, 1)).distinct()
 
 
-def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, segments: int | None = None, dense: int = 48) -> DataFrame:
+def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, segments: int | None = None, dense: int = 256) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) of every row."""
     rows = materialize(fingerprints(docs, width), "fingerprints")
     nodes = materialize(rows.select("fp").distinct(), "nodes")
-    segments = segments or (3 if nodes.count() < 1 << 25 else 2)  # same links either way; longer parts keep lists short
+    segments = segments or (3 if nodes.count() < 1 << 25 else 2)  # same links either way; wider parts keep lists short
     found = components(near_links(nodes, radius, segments, dense))
     roots = materialize(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
     named = rows.join(roots, "fp")
