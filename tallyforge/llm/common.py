@@ -38,6 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are evaluated once for a row.
+
+    A projection would be merged into the expressions that use it, and an array used inside a
+    lambda would then be made anew for every element; a one-row generator keeps them apart.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus

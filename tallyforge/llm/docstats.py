@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
@@ -13,65 +15,48 @@ def _long(x: Column) -> Column:
     return x.cast("long")
 
 
-def _without(text: Column, chars: str) -> Column:
-    """How many characters of text are among chars."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _count_of(text: Column, chars: str) -> Column:
+    """How many characters of text are among chars (translate() takes some ten times as long)."""
+    return F.regexp_count(text, F.lit(f"[{chars}]"))
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def repeated_words(words: Column) -> Column:
-    """How many words stand in a 3-word window that occurs twice or more in the array.
+def with_repeats(df: DataFrame) -> DataFrame:
+    """Adds n_repeat_words: how many of the words w stand in a 3-word window that occurs twice or more.
 
     Windows are compared by 64-bit hashes. Most texts have no repeat, which a hash set
     shows at once; otherwise (hash, place) pairs are sorted, windows next to an equal one
     are marked, and the words under marked windows counted: n log n for any text.
     """
-    n = F.size(words)
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    windows = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2]))
-    return F.when(n < 4, F.lit(0)).otherwise(_covered(windows(hashes)))
-
-
-def _let(value: Column, body) -> Column:
-    """Evaluates value once and passes it to body."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _covered(windows: Column) -> Column:
-    def count(w: Column) -> Column:
-        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(_let(F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), marked))
-
-    def marked(s: Column) -> Column:
-        last = F.size(s) - 1
-        near = lambda x, k: ((k > 0) & (s[F.greatest(k - 1, F.lit(0))]["h"] == x["h"])) | ((k < last) & (s[F.least(k + 1, last)]["h"] == x["h"]))
-        places = F.sort_array(F.transform(F.filter(s, near), lambda x: x["i"]))
-        return _let(places, spread)
-
-    def spread(p: Column) -> Column:
-        # Each window adds its words up to the next window's start, at most 3.
-        last = F.size(p) - 1
-        gaps = F.transform(p, lambda x, k: F.when(k < last, F.least(p[F.least(k + 1, last)] - x, F.lit(3))).otherwise(F.lit(3)))
-        return F.aggregate(gaps, F.lit(0), lambda a, g: a + g)
-
-    return _let(windows, count)
+    h, g, s, p = (F.col(f"_{x}") for x in "hgsp")
+    window = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))
+    df = once(df, _h=F.transform("w", lambda x: F.xxhash64(x)))
+    df = once(df, _g=F.when(F.size("w") > 3, window).otherwise(F.array().cast("array<bigint>")))
+    pairs = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    df = once(df, _s=F.when(F.size(F.array_distinct(g)) < F.size(g), pairs))
+    near = lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"])
+    df = once(df, _p=F.sort_array(F.transform(F.filter(s, lambda x, k: F.coalesce(near(x, k), F.get(s, k - 1)["h"] == x["h"], F.get(s, k + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"])))
+    # Each window adds its words up to the next window's start, at most 3.
+    gaps = F.transform(p, lambda x, k: F.least(F.coalesce(F.get(p, k + 1) - x, F.lit(3)), F.lit(3)))
+    total = F.coalesce(F.aggregate(gaps, F.lit(0), lambda a, x: a + x), F.lit(0))
+    return df.withColumn("n_repeat_words", _long(total)).drop("_h", "_g", "_s", "_p")
 
 
 def rule_stats(docs: DataFrame) -> DataFrame:
     """doc_id and the counts that the rules and the contract of the rules' query use."""
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", text.alias("t")).withColumn("w", words_of(F.col("t")))
-    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD))
-    return base.withColumn("l", lines).select(
+    base = once(docs.select("doc_id", text.alias("t")), w=words_of(F.col("t")), l=F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)))
+    return with_repeats(base).select(
         "doc_id",
         _long(F.size("w")).alias("n_words"),
         _long(F.length(F.regexp_replace("t", r"[\x20\x09-\x0D]+", ""))).alias("word_chars"),
-        _long(_without(F.col("t"), SYMBOLS)).alias("n_symbols"),
+        _long(_count_of(F.col("t"), SYMBOLS)).alias("n_symbols"),
         _long(F.size("l")).alias("n_lines"),
         _long(F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"),
-        _long(repeated_words(F.col("w"))).alias("n_repeat_words"),
+        "n_repeat_words",
         _long(F.size(F.array_distinct("w"))).alias("n_distinct_words"),
         *_plain(F.col("t")),
     )
@@ -79,11 +64,11 @@ def rule_stats(docs: DataFrame) -> DataFrame:
 
 def _plain(t: Column) -> list[Column]:
     return [
-        _long(F.length(F.regexp_replace(t, r"[^A-ZÀ-ÖØ-Þ]+", ""))).alias("n_upper"),
-        _long(_without(t, "0123456789")).alias("n_digits"),
-        _long(_without(t, "!?")).alias("n_shouts"),
-        _long(_without(t, "|")).alias("n_bars"),
-        _long(_without(t, ".,;:")).alias("n_stops"),
+        _long(_count_of(t, "A-ZÀ-ÖØ-Þ")).alias("n_upper"),
+        _long(_count_of(t, "0-9")).alias("n_digits"),
+        _long(_count_of(t, "!?")).alias("n_shouts"),
+        _long(_count_of(t, "|")).alias("n_bars"),
+        _long(_count_of(t, ".,;:")).alias("n_stops"),
         _long(F.length(t)).alias("n_chars_all"),
     ]
 
@@ -96,7 +81,7 @@ def quality_stats(docs: DataFrame) -> DataFrame:
         "doc_id",
         _long(F.size("w")).alias("n_words"),
         _long(F.length(F.regexp_replace("t", r"[\x20\x09-\x0D]+", ""))).alias("word_chars"),
-        _long(_without(F.col("t"), SYMBOLS)).alias("n_symbols"),
+        _long(_count_of(F.col("t"), SYMBOLS)).alias("n_symbols"),
         _long(F.size("l")).alias("n_lines"),
         _long(F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"),
         _long(F.size(F.array_distinct("w"))).alias("n_distinct_words"),

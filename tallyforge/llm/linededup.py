@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, once
 from .docstats import words_of
 
 STEP = 1 << 22  # lines of a document that a position leaves room for
@@ -46,7 +46,7 @@ def _halves(words: Column) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, pos (order of the line in the corpus), words, h1, h2 (two hashes of the words)."""
     split = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")
-    rows = docs.where("doc_id is not null").select("doc_id", split).withColumn("words", words_of(F.col("line"))).where(F.size("words") > 0)
+    rows = once(docs.where("doc_id is not null").select("doc_id", split), words=words_of(F.col("line"))).where(F.size("words") > 0)
     joined = F.array_join("words", " ")
     return rows.select("doc_id", "line_no", (F.col("doc_id").cast("decimal(38,0)") * STEP + F.col("line_no")).cast("decimal(38,0)").alias("pos"), "words", F.xxhash64(joined).alias("h1"), F.xxhash64(joined, F.lit("second")).alias("h2"))
 
