@@ -26,29 +26,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, once
-from .docstats import words_of
+from .common import SPACE, materialize, once
 
 STEP = 1 << 22  # lines of a document that a position leaves room for
 
 
-def _halves(words: Column) -> Column:
-    """Hashed keys of the first and last halves, at both lengths that the shorter line can have."""
-    n = F.size(words)
-    key = lambda side, m, part: F.xxhash64(F.lit(side), m, F.array_join(part, " "))
+def _halves(line: Column, n: Column) -> Column:
+    """Hashed keys of the first and last halves of n words, at both lengths that the shorter line can have."""
     out = []
     for back in (0, 1):
         m = F.floor((n - back) / 2).cast("int")
-        out += [key("head", n - back, F.slice(words, 1, m)), key("tail", n - back, F.slice(words, n - m + 1, m))]
+        out += [F.xxhash64(F.lit("head"), n - back, F.call_function("substring_index", line, F.lit(" "), m)), F.xxhash64(F.lit("tail"), n - back, F.call_function("substring_index", line, F.lit(" "), -m))]
     return F.array(*out)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (order of the line in the corpus), words, h1, h2 (two hashes of the words)."""
-    split = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")
-    rows = once(docs.where("doc_id is not null").select("doc_id", split), words=words_of(F.col("line"))).where(F.size("words") > 0)
-    joined = F.array_join("words", " ")
-    return rows.select("doc_id", "line_no", (F.col("doc_id").cast("decimal(38,0)") * STEP + F.col("line_no")).cast("decimal(38,0)").alias("pos"), "words", F.xxhash64(joined).alias("h1"), F.xxhash64(joined, F.lit("second")).alias("h2"))
+    """doc_id, line_no, pos (order of the line in the corpus), line (words with one space between), n (words), h1, h2 (two hashes)."""
+    split = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw")
+    one = F.trim(F.regexp_replace("raw", r"[\x09-\x0D]" + SPACE[:-1] + r"*|\x20" + SPACE, " "))
+    rows = once(docs.where("doc_id is not null").select("doc_id", split), line=one).where("line <> ''")
+    pos = (F.col("doc_id").cast("decimal(38,0)") * STEP + F.col("line_no")).cast("decimal(38,0)")
+    return rows.select("doc_id", "line_no", pos.alias("pos"), "line", (F.regexp_count("line", F.lit(" ")) + 1).alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit("second")).alias("h2"))
 
 
 def one_edit(a: list[str], b: list[str]) -> bool:
@@ -69,7 +67,7 @@ def _variants(lines: DataFrame) -> DataFrame:
     mul = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             at, keys, places = [], ([], []), []
             for i, words in enumerate(batch.column(1).to_pylist()):
                 n = len(words)
@@ -94,7 +92,7 @@ def _variants(lines: DataFrame) -> DataFrame:
 def line_copies(docs: DataFrame, least_words: int = 5) -> DataFrame:
     """doc_id, line_no, of (position of an earlier line), exact: the lines that go."""
     lines = lines_of(docs)
-    keys = F.when(F.size("words") >= least_words, _halves(F.col("words"))).otherwise(F.array().cast("array<bigint>"))
+    keys = F.when(F.col("n") >= least_words, _halves(F.col("line"), F.col("n"))).otherwise(F.array().cast("array<bigint>"))
     thin = materialize(lines.select("doc_id", "line_no", "pos", "h1", "h2", keys.alias("keys")), "lines")
     firsts = materialize(thin.groupBy("h1", "h2").agg(F.min("pos").alias("first")), "firsts")
     # One key row for each first place: hot lines count once.
@@ -102,7 +100,7 @@ def line_copies(docs: DataFrame, least_words: int = 5) -> DataFrame:
     halves = unique.dropDuplicates(["pos"]).select("pos", F.explode(F.array_distinct("keys")).alias("key"))
     shared = halves.groupBy("key").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).where("a <> b").select("key")
     able = materialize(halves.join(shared, "key", "left_semi").select("pos").distinct(), "able")
-    texts = materialize(lines.join(able, "pos", "left_semi").select("pos", "words").dropDuplicates(["pos"]), "texts")
+    texts = materialize(lines.join(able, "pos", "left_semi").select("pos", F.split("line", " ").alias("words")).dropDuplicates(["pos"]), "texts")
     variants = materialize(_variants(texts), "variants")
     at_place = materialize(variants.groupBy("v1", "v2", "place").agg(F.min("pos").alias("least"), F.count("*").alias("n")), "places")
     any_place = at_place.where("place >= 0").groupBy("v1", "v2").agg(F.min("least").alias("least"))
