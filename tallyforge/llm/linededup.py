@@ -26,27 +26,34 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, once
+from .common import SPACE, by_bytes, materialize, once
 
 STEP = 1 << 22  # lines of a document that a position leaves room for
 
 
-def _halves(line: Column, n: Column) -> Column:
+def _halves(line: Column, n: Column) -> list[Column]:
     """Hashed keys of the first and last halves of n words, at both lengths that the shorter line can have."""
     out = []
     for back in (0, 1):
         m = F.floor((n - back) / 2).cast("int")
         out += [F.xxhash64(F.lit("head"), n - back, F.call_function("substring_index", line, F.lit(" "), m)), F.xxhash64(F.lit("tail"), n - back, F.call_function("substring_index", line, F.lit(" "), -m))]
-    return F.array(*out)
+    return out
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, pos (order of the line in the corpus), line (words with one space between), n (words), h1, h2 (two hashes)."""
+    """doc_id, line_no, pos (order of the line in the corpus), line (words with one space between), n (words), h1, h2 (two hashes).
+
+    Positions are longs where the ids leave room for line numbers, wider decimals where not.
+    """
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    room = (1 << 63) // STEP
+    kind = "long" if least is None or (-room <= least and most < room) else "decimal(38,0)"
     split = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw")
     one = F.trim(F.regexp_replace("raw", r"[\x09-\x0D]" + SPACE[:-1] + r"*|\x20" + SPACE, " "))
     rows = once(docs.where("doc_id is not null").select("doc_id", split), line=one).where("line <> ''")
-    pos = (F.col("doc_id").cast("decimal(38,0)") * STEP + F.col("line_no")).cast("decimal(38,0)")
-    return rows.select("doc_id", "line_no", pos.alias("pos"), "line", (F.regexp_count("line", F.lit(" ")) + 1).alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit("second")).alias("h2"))
+    rows = once(rows, n=F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    pos = (F.col("doc_id").cast(kind) * STEP + F.col("line_no")).cast(kind)
+    return rows.select("doc_id", "line_no", pos.alias("pos"), "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit("second")).alias("h2"))
 
 
 def one_edit(a: list[str], b: list[str]) -> bool:
@@ -62,45 +69,68 @@ def one_edit(a: list[str], b: list[str]) -> bool:
     return short[k:] == long[k + 1 :]
 
 
-def _variants(lines: DataFrame) -> DataFrame:
+def _variants(texts: DataFrame) -> DataFrame:
     """pos, v1, v2, place: the line itself (place -1) and each variant with one word deleted."""
     mul = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+    kind = texts.schema["pos"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            lines = batch.column(1).to_pylist()
+            for lo, hi in by_bytes(lines, 1 << 18):
+                at, keys, places = [], ([], []), []
+                for i in range(lo, hi):
+                    raw = lines[i].encode().split(b" ")
+                    n = len(raw)
+                    places.append(np.arange(-1, n, dtype=np.int32))
+                    at.append(np.full(n + 1, i))
+                    for seed, (m, out) in enumerate(zip(mul, keys)):
+                        h = np.array([xxhash.xxh64_intdigest(w, seed) for w in raw], np.uint64)
+                        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, m)]), dtype=np.uint64)
+                        left = np.concatenate([[np.uint64(0)], np.cumsum(h * power[:n], dtype=np.uint64)])
+                        right = np.concatenate([[np.uint64(0)], np.cumsum(h[1:] * power[: n - 1], dtype=np.uint64)])
+                        whole = left[n]
+                        without = left[:n] + (right[n - 1] - right)
+                        out.append(np.concatenate([[whole], without]).view(np.int64))
+                pos = batch.column(0).take(pa.array(np.concatenate(at)))
+                yield pa.RecordBatch.from_arrays([pos, pa.array(np.concatenate(keys[0])), pa.array(np.concatenate(keys[1])), pa.array(np.concatenate(places))], names=["pos", "v1", "v2", "place"])
+
+    return texts.select("pos", "line").mapInArrow(run, f"pos {kind}, v1 long, v2 long, place int")
+
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    """pos, least of the pairs (with texts a and b) that one edit turns into each other."""
+    kind = pairs.schema["pos"].dataType.simpleString()
 
     def run(batches):
-        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            at, keys, places = [], ([], []), []
-            for i, words in enumerate(batch.column(1).to_pylist()):
-                n = len(words)
-                raw = [w.encode() for w in words]
-                places.append(np.arange(-1, n, dtype=np.int32))
-                at.append(np.full(n + 1, i))
-                for seed, (m, out) in enumerate(zip(mul, keys)):
-                    h = np.array([xxhash.xxh64_intdigest(w, seed) for w in raw], np.uint64)
-                    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, m)]), dtype=np.uint64)
-                    left = np.concatenate([[np.uint64(0)], np.cumsum(h * power[:n], dtype=np.uint64)])
-                    right = np.concatenate([[np.uint64(0)], np.cumsum(h[1:] * power[: n - 1], dtype=np.uint64)])
-                    whole = left[n]
-                    without = left[:n] + (right[n - 1] - right)
-                    out.append(np.concatenate([[whole], without]).view(np.int64))
-            if at:
-                rows = np.concatenate(at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate(keys[0])), pa.array(np.concatenate(keys[1])), pa.array(np.concatenate(places))], names=["pos", "v1", "v2", "place"])
-
-    return lines.select("pos", "words").mapInArrow(run, "pos decimal(38,0), v1 long, v2 long, place int")
+        for batch in batches:
+            ok = [one_edit(x.split(" "), y.split(" ")) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.select("pos", "least", "a", "b").mapInArrow(run, f"pos {kind}, least {kind}")
+
+
+def stored_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
+    """lines_of, written once, with the keys k0 to k3 of the halves of lines that may have near copies."""
+    lines = lines_of(docs)
+    keys = [F.when(F.col("n") >= least_words, k).alias(f"k{i}") for i, k in enumerate(_halves(F.col("line"), F.col("n")))]
+    return materialize(lines.select("doc_id", "line_no", "pos", "line", "h1", "h2", *keys), "lines")
 
 
 def line_copies(docs: DataFrame, least_words: int = 5) -> DataFrame:
     """doc_id, line_no, of (position of an earlier line), exact: the lines that go."""
-    lines = lines_of(docs)
-    keys = F.when(F.col("n") >= least_words, _halves(F.col("line"), F.col("n"))).otherwise(F.array().cast("array<bigint>"))
-    thin = materialize(lines.select("doc_id", "line_no", "pos", "h1", "h2", keys.alias("keys")), "lines")
-    firsts = materialize(thin.groupBy("h1", "h2").agg(F.min("pos").alias("first")), "firsts")
-    # One key row for each first place: hot lines count once.
-    unique = thin.join(firsts, (thin["h1"] == firsts["h1"]) & (thin["h2"] == firsts["h2"]) & (thin["pos"] == firsts["first"]), "left_semi")
-    halves = unique.dropDuplicates(["pos"]).select("pos", F.explode(F.array_distinct("keys")).alias("key"))
+    return copies_of(stored_lines(docs, least_words))
+
+
+def copies_of(lines: DataFrame) -> DataFrame:
+    """line_copies of stored lines."""
+    names = ["k0", "k1", "k2", "k3"]
+    # One row for each text, at its first place: hot lines count once. Equal lines have equal keys.
+    firsts = materialize(lines.groupBy("h1", "h2").agg(F.min("pos").alias("first"), *[F.min(k).alias(k) for k in names]), "firsts")
+    halves = firsts.where("k0 is not null").select(F.col("first").alias("pos"), F.explode(F.array_distinct(F.array(*names))).alias("key"))
     shared = halves.groupBy("key").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).where("a <> b").select("key")
     able = materialize(halves.join(shared, "key", "left_semi").select("pos").distinct(), "able")
-    texts = materialize(lines.join(able, "pos", "left_semi").select("pos", F.split("line", " ").alias("words")).dropDuplicates(["pos"]), "texts")
+    texts = materialize(lines.select("pos", "line").join(able, "pos", "left_semi").dropDuplicates(["pos"]), "texts")
     variants = materialize(_variants(texts), "variants")
     at_place = materialize(variants.groupBy("v1", "v2", "place").agg(F.min("pos").alias("least"), F.count("*").alias("n")), "places")
     any_place = at_place.where("place >= 0").groupBy("v1", "v2").agg(F.min("least").alias("least"))
@@ -108,24 +138,13 @@ def line_copies(docs: DataFrame, least_words: int = 5) -> DataFrame:
     same = variants.where("place >= 0").join(at_place.where("place >= 0 and n > 1"), ["v1", "v2", "place"]).select("pos", "least")
     shorter = variants.where("place >= 0").join(whole, ["v1", "v2"]).select("pos", "least")
     longer = variants.where("place = -1").join(any_place, ["v1", "v2"]).select("pos", "least")
-    found = same.union(shorter).union(longer).where("least < pos").distinct()
-    left, right = texts.select("pos", F.col("words").alias("a")), texts.select(F.col("pos").alias("least"), F.col("words").alias("b"))
-    checked = found.join(left, "pos").join(right, "least").where(_one_edit(F.col("a"), F.col("b")))
-    near = checked.groupBy("pos").agg(F.min("least").alias("least"))
-    rows = thin.join(firsts, ["h1", "h2"]).select("doc_id", "line_no", "pos", "first")
-    repeats = rows.where("pos > first").select("doc_id", "line_no", F.col("first").alias("of"), F.lit(True).alias("exact"))
-    return repeats.unionByName(rows.where("pos = first").join(near, "pos").select("doc_id", "line_no", F.col("least").alias("of"), F.lit(False).alias("exact")))
-
-
-def _one_edit(a: Column, b: Column) -> Column:
-    """one_edit as an expression: common words at both ends cover all but one word."""
-    n = F.least(F.size(a), F.size(b))
-    differs = F.array_position(F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(a, i) != F.element_at(b, i)), F.lit(True))
-    head = F.when(differs == 0, n).otherwise(differs - 1).cast("int")
-    rest = lambda x, skip: F.slice(x, head + 1 + skip, F.greatest(F.size(x) - head - skip, F.lit(0)))
-    more = lambda x, y: (F.size(x) > F.size(y)).cast("int")
-    equal = (F.size(a) == F.size(b)).cast("int")
-    return (F.abs(F.size(a) - F.size(b)) <= 1) & (rest(a, equal + more(a, b)) == rest(b, equal + more(b, a)))
+    found = materialize(same.union(shorter).union(longer).where("least < pos").distinct(), "found")
+    left, right = texts.select("pos", F.col("line").alias("a")), texts.select(F.col("pos").alias("least"), F.col("line").alias("b"))
+    near = materialize(_verified(found.join(left, "pos").join(right, "least")).groupBy("pos").agg(F.min("least").alias("least")), "near")
+    rows = lines.select("doc_id", "line_no", "pos", "h1", "h2").join(firsts.select("h1", "h2", "first"), ["h1", "h2"]).select("doc_id", "line_no", "pos", "first")
+    # A text's first place is the only row that can be a near copy and no exact one.
+    marked = rows.join(near.withColumnRenamed("pos", "at"), F.when(F.col("pos") == F.col("first"), F.col("pos")) == F.col("at"), "left")
+    return marked.where("pos > first or least is not null").select("doc_id", "line_no", F.coalesce("least", "first").alias("of"), (F.col("pos") > F.col("first")).alias("exact"))
 
 
 def drop_lines(docs: DataFrame, copies: DataFrame) -> DataFrame:
@@ -139,8 +158,9 @@ def drop_lines(docs: DataFrame, copies: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame, least_words: int = 5) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, n_kept of every document with an id."""
-    gone = line_copies(docs, least_words).groupBy("doc_id").agg(F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near"))
-    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
-    sizes = docs.where("doc_id is not null").select("doc_id", n.alias("n_lines")).groupBy("doc_id").agg(F.sum("n_lines").alias("n_lines"))
+    lines = stored_lines(docs, least_words)
+    gone = copies_of(lines).groupBy("doc_id").agg(F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near"))
+    sizes = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return sizes.join(gone, "doc_id", "left").select("doc_id", "n_lines", zero("n_exact"), zero("n_near")).withColumn("n_kept", F.col("n_lines") - F.col("n_exact") - F.col("n_near"))
+    every = docs.where("doc_id is not null").select("doc_id").distinct().join(sizes, "doc_id", "left").join(gone, "doc_id", "left")
+    return every.select("doc_id", zero("n_lines"), zero("n_exact"), zero("n_near")).withColumn("n_kept", F.col("n_lines") - F.col("n_exact") - F.col("n_near"))
