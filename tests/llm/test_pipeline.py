@@ -89,3 +89,25 @@ def test_pipeline(spark):
     empty = docs.where(F.lit(False))
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def edited_pairs(count, edits, seed=11):
+    """(doc_id, text) of pairs 2 k and 2 k + 1 of 400 words that differ in so many words far apart, and their similarities."""
+    rng = np.random.default_rng(seed)
+    texts, sim = [], []
+    for k in range(count):
+        base = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+        copy = list(base)
+        for j, at in enumerate(np.linspace(5, 390, edits[k % len(edits)]).astype(int)):
+            copy[at] = f"changed{k}x{j}"
+        texts += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        a, b = shingles(texts[-2][1]), shingles(texts[-1][1])
+        sim.append(len(a & b) / len(a | b))
+    return texts, sim
+
+
+def test_texts_below_the_similarity_are_not_joined(spark):
+    texts, sim = edited_pairs(200, (9, 10, 11))
+    assert 0.74 < min(sim) and any(s < 0.8 for s in sim)
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert not [s for k, s in enumerate(sim) if s < 0.8 and got[2 * k + 1] == 2 * k]
