@@ -111,3 +111,39 @@ def test_texts_below_the_similarity_are_not_joined(spark):
     assert 0.74 < min(sim) and any(s < 0.8 for s in sim)
     got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert not [s for k, s in enumerate(sim) if s < 0.8 and got[2 * k + 1] == 2 * k]
+
+
+def test_all_texts_of_the_similarity_are_joined_at_any_size(spark):
+    texts, sim = edited_pairs(200, (3, 5, 7, 8))
+    assert 0.8 < min(sim) < 0.82
+    rng = np.random.default_rng(3)
+    others = [(1000 + i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 60))) for i in range(3000)]
+    for docs in (texts, texts + others):
+        got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert all(got[i] == i - i % 2 if i < 1000 else got[i] == i for i in got)
+
+
+def test_near_groups_of_long_lists(spark):
+    """Chains of edits around one text, and a passage that texts with nothing else in common share: as by brute force."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 200)]
+    texts = []
+    for i in range(60):
+        own = list(base)
+        for at in rng.choice(200, i % 9, replace=False):
+            own[at] = f"e{i}x{at}"
+        texts.append(" ".join(own))
+    passage = [f"p{i}" for i in range(100)]
+    texts += [" ".join(passage + [f"q{i}x{j}" for j in range(10 + i)]) for i in range(60)]
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for dense in (128, 4):
+        got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_groups(docs, dense=dense).collect()}
+        assert [got[i] for i in range(len(texts))] == label
+    assert 2 < len(set(label)) < len(texts)
