@@ -30,10 +30,47 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.toUri().getPath().startswith(root):
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spare_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores before each as it takes to clash with none of taken (case aside)."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def likely_in(df: DataFrame, key: str, keys: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """The rows of df whose key is in the column `key` of keys, and a few others.
+
+    A filter before a join, so that rows that can't match aren't shuffled. What is broadcast
+    has `words` rows at most, 64 bits each, at any size of keys.
+    """
+    word, bit, mask = spare_names(df.columns, "word", "bit", "mask")
+    h = lambda: F.xxhash64(key)
+    own = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h(), 58).cast("int"))
+    masks = keys.select(h().bitwiseAND(F.lit(words - 1)).alias(word), own.alias(bit)).groupBy(word).agg(F.bit_or(bit).alias(mask))
+    rows = df.withColumn(word, h().bitwiseAND(F.lit(words - 1))).withColumn(bit, own).join(F.broadcast(masks), word)
+    return rows.where(F.col(mask).bitwiseAND(F.col(bit)) != 0).drop(word, bit, mask)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,17 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over edges (a > b)."""
     if large:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         out = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
-        least = materialize(edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "star")
+        least = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         out = edges.withColumnRenamed("a", "u").join(least, "u").select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = out.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.where("a <> b").distinct()
@@ -30,7 +30,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = materialize(edges.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
     before = None
     for _ in range(rounds):
-        edges = materialize(_star(materialize(_star(edges, True), "large"), False), "small")
+        large = materialize(_star(edges, True), "large")
+        small = materialize(_star(large, False), "small")
+        forget(edges, large)
+        edges = small
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

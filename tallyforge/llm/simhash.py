@@ -33,22 +33,28 @@ from .denselinks import dense_links
 BLOCK = 1 << 14
 
 
-def fingerprint(text: str, width: int) -> int:
-    """The 64-bit SimHash of a text's word shingles."""
+def shingle_hashes(text: str, width: int):
+    """XXH64 (seed 42) of all word shingles in order, in blocks; a text of fewer words is one shingle, one without words has none."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    n = max(1, len(words) - width + 1)
+    n, digest = max(1, len(words) - width + 1), xxhash.xxh64_intdigest
     ends = ends[min(width, len(words)) - 1 :]
-    total, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for a in range(0, n, BLOCK):
         spans = zip(starts[a : min(n, a + BLOCK)].tolist(), ends[a : min(n, a + BLOCK)].tolist())
-        h = np.array([digest(joined[s:e], 42) for s, e in spans], np.uint64)
+        yield np.array([digest(joined[s:e], 42) for s, e in spans], np.uint64)
+
+
+def fingerprint(text: str, width: int) -> int:
+    """The 64-bit SimHash of a text's word shingles."""
+    total, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, width):
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits((2 * total > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
