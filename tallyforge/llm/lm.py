@@ -7,9 +7,13 @@ other words of a document are joined to the table, so nothing that grows is broa
 The model (gru.py) predicts each token from the state, which goes on across windows to the
 end of a document: the class, then the word in it. Words outside its vocabulary belong to
 one of 64 bucket classes by their last bytes; within a bucket a word has the probability
-(c + 0.5) / (N_b + 0.5 (V_b + 1)), from the counts of the whole training corpus. The
-network's weights are fitted on at most `fit_tokens` tokens of training documents chosen by
-hash (a documented bound); the counts cover all of them.
+(c + 0.5) / (N_b + 0.5 (V_b + 1)), from the counts of the whole training corpus.
+
+Counts and network are learned from all training text. Trainers of about `per_trainer` tokens
+each start from the same weights, pass once over their documents, and write their weights,
+which are averaged by tokens, 32 at a time: first for an eighth of the documents, then, from
+that average, for all others. What the weights become depends on how documents are dealt to
+tasks; nothing else does.
 
 Null text counts as empty (the end token alone). Repeated rows each get a row. Without
 training documents all counts are 0. An empty table gives no rows.
@@ -17,6 +21,7 @@ training documents all counts are 0. An empty table gives no rows.
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
 
@@ -26,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, materialize, remainder
-from .gru import Gru
+from .common import forget, materialize, remainder
+from .gru import Gru, Trainer
 
 BUCKETS, LONGEST = 64, 64
 
@@ -139,12 +144,78 @@ def _with(owners: list, columns: list, schema: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*first, *columns], names=schema.fieldNames())
 
 
-def fit(train: DataFrame, counts: DataFrame, top: int, vocabulary: int, fit_tokens: int) -> tuple[Known, int, int]:
+def top_words(counts: DataFrame, top: int) -> list[tuple[bytes, int]]:
+    """At most `top` of the most frequent words, of those as long as LONGEST at most, by falling count.
+
+    How many words have about the same count (eight classes to each doubling) decides from which
+    count on words are taken, so only words that are taken leave the executors.
+    """
+    known = counts.where(F.length("word") <= LONGEST).withColumn("kind", F.floor(F.log2("c") * 8))
+    taken = 0
+    least = None
+    for r in sorted(known.groupBy("kind").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["kind"]):
+        taken += r["n"]
+        if taken > top:
+            break
+        least = r["kind"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["word"]), r["c"]) for r in known.where(F.col("kind") >= least).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
+
+
+def trained(train: DataFrame, known, trainers: int, expected: int, hold: int = 1_000_000) -> DataFrame:
+    """n, weights: what each trainer makes of the broadcast model with its part of the texts, and from how many tokens."""
+
+    def run(batches):
+        k = known.value
+        model = copy.deepcopy(k.model)
+        model.load(model.flat.copy())
+        trainer, kept, size, n = Trainer(model, expected), [], 0, 0
+        for batch in batches:
+            for t in batch.column(0):
+                kept.append(k.read(t.as_py())[0])
+                size += len(kept[-1])
+                if size >= hold:
+                    trainer.feed(kept)
+                    kept, n, size = [], n + size, 0
+        if kept:
+            trainer.feed(kept)
+        if n + size:
+            yield pa.RecordBatch.from_arrays([pa.array([n + size], pa.int64()), pa.array([model.flat.tobytes()], pa.binary())], names=["n", "weights"])
+
+    return train.select("text").coalesce(trainers).mapInArrow(run, "n long, weights binary")
+
+
+def averaged(models: DataFrame, at_once: int = 32) -> np.ndarray | None:
+    """The mean of the weights by their tokens; where there are many, executors add them up, `at_once` in a task."""
+
+    def mean(rows) -> tuple[int, np.ndarray]:
+        n, total = 0, np.zeros(0)
+        for own, weights in rows:
+            part = own * np.frombuffer(weights, np.float32).astype(np.float64)
+            n, total = n + own, total + part if n else part
+        return n, (total / max(n, 1)).astype(np.float32)
+
+    def run(batches):
+        n, weights = mean(pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([weights.tobytes()], pa.binary())], names=["n", "weights"])
+
+    while (count := models.count()) > at_once:
+        less = materialize(models.repartition(-(-count // at_once)).mapInArrow(run, models.schema), "models")
+        forget(models)
+        models = less
+    rows = sorted((r["n"], bytes(r["weights"])) for r in models.collect())
+    forget(models)
+    return mean(rows)[1] if rows else None
+
+
+def fit(train: DataFrame, counts: DataFrame, top: int, vocabulary: int, per_trainer: int, first: int = 8) -> tuple[Known, int, int]:
     """(what executors need, N, V)."""
     ends = train.count()
     total = counts.agg(F.sum("c"), F.count("*")).first()
     n, v = (total[0] or 0) + ends, total[1] + (ends > 0)
-    best = [(bytes(r[0]), r[1]) for r in counts.where(F.length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(top).collect()]
+    best = top_words(counts, top)
     own = F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")) % BUCKETS
     masses, kinds = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.groupBy(own.alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("k")).collect():
@@ -153,27 +224,23 @@ def fit(train: DataFrame, counts: DataFrame, top: int, vocabulary: int, fit_toke
         masses[bucket(w)] -= c
         kinds[bucket(w)] -= 1
     known = Known(best, vocabulary, ends, masses, kinds)
-    # A bounded sample by hash; documents of over a tenth of the bound don't fit it and are left to the counts.
-    sized = train.select(F.xxhash64("doc_id").alias("h"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).where(F.col("size") <= fit_tokens // 2)
-    sample, room = [], fit_tokens
-    for r in sized.orderBy("h", "size").select("text").limit(max(1, fit_tokens // 200)).toLocalIterator():
-        ids = known.read(r["text"])[0]
-        if len(ids) <= room:
-            sample.append(ids)
-            room -= len(ids)
-        if room < 50:
-            break
-    if sample:
-        known.model.fit(sample)
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(first)) == 0
+    for rows, share in ((train.where(part), n // first), (train.where(~part), n - n // first)):
+        shared = train.sparkSession.sparkContext.broadcast(known)
+        trainers = max(1, -(-share // per_trainer))
+        weights = averaged(materialize(trained(rows, shared, trainers, share // trainers), "models"))
+        shared.destroy()
+        if weights is not None:
+            known.model.load(weights)
     return known, n, v
 
 
-def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1, top: int = 150_000, vocabulary: int = 4096, fit_tokens: int = 600_000) -> DataFrame:
+def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1, top: int = 150_000, vocabulary: int = 2048, per_trainer: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select("doc_id", (remainder("doc_id", modulus) == held).alias("held_out"), "text")
     train = rows.where("not held_out")
     counts = materialize(word_counts(train), "counts")
-    known, n, v = fit(train, counts, top, vocabulary, fit_tokens)
+    known, n, v = fit(train, counts, top, vocabulary, per_trainer)
     shared = docs.sparkSession.sparkContext.broadcast(known)
     scored = materialize(read_and_score(rows, shared).withColumn("rid", F.monotonically_increasing_id()), "scored")
     rare = scored.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.n")
