@@ -1,16 +1,17 @@
 """Operator 4, exact dedup by content-defined chunk recipes.
 
-Texts are normalised ([\\x20\\x09-\\x0D]+ becomes one space; null is empty), cut into chunks at
-places that a rolling hash of the last 32 bytes chooses, and each chunk gets an identifier.
-A document's recipe is the ordered list of its identifiers (about 0.8 % of its size), so
-long texts never move: only recipes are shuffled and compared. Identifiers are verified:
-every digest is checked against an independent checksum and the length over the whole
-corpus, and a digest that stands for two contents is replaced by digest and checksum.
-Groups also agree in the SHA-256 digest of the whole text.
+Texts are normalised ([\\x20\\x09-\\x0D]+ becomes one space; null is empty) and cut into chunks at
+places that a rolling hash of the last 32 bytes chooses. A document's recipe is the ordered
+list of its chunks (about 0.8 % of its size), so long texts never move. All chunks are
+reduced to a table of distinct ones, each with a number as its identifier. Identifiers are
+verified: chunks count as one only if a digest, an independent checksum and the length agree,
+so a digest that stands for two contents gets two identifiers. Texts are equal if their lists
+of identifiers (and lengths) are; the SHA-256 digest of the whole text is only returned.
 
 Of equal texts the row with the smallest doc_id stays (null ids come last); of rows that
 repeat this doc_id too, exactly one. Empty texts are equal to each other. An empty table
-gives no rows. Other columns are ignored.
+gives no rows. Other columns are ignored, and kept,
+whatever their names, by drop_exact_copies.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import random
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, materialize
+from .common import SPACE, materialize, spare_names
 
 WINDOW, SLICE = 32, 1 << 22
 GEAR = np.array([random.Random(f"gear-{i}").getrandbits(32) for i in range(256)], np.uint32)
@@ -99,57 +100,51 @@ def recipes(docs: DataFrame, bits: int = 11, least: int = 256, most: int = 16384
     return rows.mapInArrow(run, schema)
 
 
-def collisions(table: DataFrame) -> DataFrame:
-    """Digests that stand for more than one content."""
-    chunks = table.select(F.explode("recipe").alias("c")).select("c.*")
-    seen = chunks.groupBy("digest").agg(F.min("check").alias("a"), F.max("check").alias("b"), F.min("size").alias("c"), F.max("size").alias("d"))
-    return seen.where("a <> b or c <> d").select("digest")
+def chunk_table(table: DataFrame) -> DataFrame:
+    """digest, check, size, id: the distinct chunks of all recipes, each with its identifier."""
+    chunks = table.select(F.explode("recipe").alias("c")).select("c.digest", "c.check", "c.size")
+    return materialize(chunks.distinct().withColumn("id", F.monotonically_increasing_id()), "chunks")
 
 
-def verified(table: DataFrame) -> DataFrame:
-    """Replaces recipe by ids, an ordered list of verified identifiers."""
-    bad = collisions(table)
-    if bad.isEmpty():
-        return table.withColumn("ids", F.transform("recipe", lambda c: c["digest"])).drop("recipe")
-    # Rare: the few documents with such a digest take digest, checksum and size for every chunk.
-    chunks = table.select("rid", F.explode("recipe").alias("c")).select("rid", "c.digest")
-    hit = chunks.join(bad, "digest", "left_semi").select("rid").distinct().withColumn("bad", F.lit(True))
-    full = F.transform("recipe", lambda c: F.concat(c["digest"], F.unhex(F.hex(c["check"])), F.unhex(F.hex(c["size"].cast("long")))))
-    plain = F.transform("recipe", lambda c: c["digest"])
-    return table.join(hit, "rid", "left").withColumn("ids", F.when(F.col("bad"), full).otherwise(plain)).drop("recipe", "bad")
+def identified(table: DataFrame) -> DataFrame:
+    """Replaces recipe by ids, the ordered list of verified identifiers."""
+    found = chunk_table(table)
+    placed = table.select("rid", F.posexplode("recipe").alias("i", "c")).select("rid", "i", "c.digest", "c.check", "c.size")
+    lists = placed.join(found, ["digest", "check", "size"]).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("i", "id"))).alias("ids"))
+    whole = table.drop("recipe").join(lists, "rid", "left")
+    return whole.withColumn("ids", F.coalesce(F.transform("ids", lambda c: c["id"]), F.array().cast("array<bigint>")))
 
 
 def exact_dedup(docs: DataFrame, **options) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, n_chunks of every row."""
     table = materialize(recipes(docs, **options).withColumn("rid", F.monotonically_increasing_id()), "recipes")
-    rows = verified(table).withColumn("n_chunks", F.size("ids"))
-    key = ["text_sha256", "n_bytes", "ids"]
-    groups = rows.groupBy(*key).agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id"))
-    # A second, narrow pass names the row that stays: the least row number with the least id.
-    groups = materialize(groups, "groups")
-    joined = rows.join(groups, [rows[k] == groups[k] for k in key]).select(rows["rid"], rows["doc_id"], "keep_id", "group_size", rows["text_sha256"], "n_chunks")
+    rows = materialize(identified(table), "identified")
+    groups = rows.groupBy("n_bytes", "ids").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id"))
+    groups = materialize(groups.withColumn("gid", F.monotonically_increasing_id()), "groups")
+    joined = rows.join(groups, ["n_bytes", "ids"]).select("rid", "gid", "doc_id", "keep_id", "group_size", "text_sha256", F.size("ids").alias("n_chunks"))
     same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    repeated = table.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if repeated.isEmpty():
         kept = same
     else:
-        first = joined.where(same).groupBy("text_sha256").agg(F.min("rid").alias("stays"))
-        joined = joined.join(first.withColumnRenamed("text_sha256", "sha"), F.col("text_sha256") == F.col("sha"), "left")
+        # Of rows that repeat the least id, the one with the least row number stays.
+        first = joined.where(same).groupBy("gid").agg(F.min("rid").alias("stays"))
+        joined = joined.join(first, "gid", "left")
         kept = F.coalesce(F.col("rid") == F.col("stays"), F.lit(False))
     return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "n_chunks")
 
 
 def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, with their columns."""
-    kept = exact_dedup(docs, **options).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha_kept"))
-    same = F.col("doc_id").eqNullSafe(F.col("_keep"))
-    many = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_many"))
-    if many.isEmpty():
+    keep, kept_sha, many, n, sha = spare_names(docs.columns, "keep", "kept_sha", "many", "n", "sha")
+    kept = exact_dedup(docs, **options).where("kept").select(F.col("doc_id").alias(keep), F.col("text_sha256").alias(kept_sha))
+    same = F.col("doc_id").eqNullSafe(F.col(keep))
+    repeats = docs.groupBy("doc_id").agg(F.count("*").alias(n)).where(F.col(n) > 1).select(F.col("doc_id").alias(many))
+    if repeats.isEmpty():
         return docs.join(kept, same, "left_semi")
     # Rows that repeat an id are told apart by their text; of equal ones, one stays.
-    hit = F.col("doc_id").eqNullSafe(F.col("_many"))
-    once = docs.join(many, hit, "left_anti").join(kept, same, "left_semi")
-    twice = docs.join(many, hit, "left_semi").withColumn("_sha", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "), 256))
-    own = Window.partitionBy("doc_id", "_sha").orderBy(F.lit(0))
-    twice = twice.join(kept, same & (F.col("_sha") == F.col("_sha_kept")), "left_semi").withColumn("_rn", F.row_number().over(own)).where("_rn = 1").drop("_sha", "_rn")
-    return once.unionByName(twice)
+    hit = F.col("doc_id").eqNullSafe(F.col(many))
+    once = docs.join(repeats, hit, "left_anti").join(kept, same, "left_semi")
+    twice = docs.join(repeats, hit, "left_semi").withColumn(sha, F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "), 256))
+    twice = twice.join(kept, same & (F.col(sha) == F.col(kept_sha)), "left_semi").dropDuplicates(["doc_id", sha])
+    return once.unionByName(twice.select(*docs.columns))
