@@ -150,7 +150,7 @@ class Gru:
 class Trainer:
     """Truncated backpropagation through a model's weights, for documents that come in chunks."""
 
-    def __init__(self, model: Gru, expected: int, streams: int = 128, window: int = 32, rate: float = 0.01, longest: int = 4096):
+    def __init__(self, model: Gru, expected: int, streams: int = 192, window: int = 24, rate: float = 0.01, longest: int = 4096):
         """expected: tokens to come, for the rate's schedule; documents are cut into pieces of `longest` tokens."""
         self.model, self.streams, self.window, self.rate, self.longest = model, streams, window, rate, longest
         self.step, self.total = 0, max(1, expected // (streams * window))

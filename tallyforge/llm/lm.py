@@ -6,7 +6,7 @@ other words of a document are joined to the table, so nothing that grows is broa
 
 The model (gru.py) predicts each token from the state, which goes on across windows to the
 end of a document: the class, then the word in it. Words outside its vocabulary belong to
-one of 64 bucket classes by their last bytes; within a bucket a word has the probability
+one of 32 bucket classes by their last bytes; within a bucket a word has the probability
 (c + 0.5) / (N_b + 0.5 (V_b + 1)), from the counts of the whole training corpus.
 
 Counts and network are learned from all training text. Trainers of about `per_trainer` tokens
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .common import forget, materialize, remainder
 from .gru import Gru, Trainer
 
-BUCKETS, LONGEST = 64, 64
+BUCKETS, LONGEST = 32, 64
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -235,7 +235,7 @@ def fit(train: DataFrame, counts: DataFrame, top: int, vocabulary: int, per_trai
     return known, n, v
 
 
-def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1, top: int = 150_000, vocabulary: int = 2048, per_trainer: int = 2_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1, top: int = 150_000, vocabulary: int = 1024, per_trainer: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select("doc_id", (remainder("doc_id", modulus) == held).alias("held_out"), "text")
     train = rows.where("not held_out")
