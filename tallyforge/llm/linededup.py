@@ -184,7 +184,7 @@ def copies_of(lines: DataFrame, order: Order, least_words: int = 5) -> DataFrame
 
 def line_copies(docs: DataFrame, least_words: int = 5, rid: str | None = None) -> DataFrame:
     """rid, doc_id, line_no, of_doc_id, of_line_no, exact: the lines that go, and the earlier lines that they copy."""
-    lines = materialize(lines_of(docs, rid), "lines")
+    lines = materialize(lines_of(docs, rid), "lines", "zstd")
     order = Order(lines)
     ids = lines.where("line_no = 0").select("rid", "doc_id")
     doc, line = order.of("of")
@@ -204,7 +204,7 @@ def drop_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
 
 def line_dedup(docs: DataFrame, least_words: int = 5) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, n_kept, dropped (the numbers of the lines that go, from 0) of every row."""
-    lines = materialize(lines_of(docs), "lines")
+    lines = materialize(lines_of(docs), "lines", "zstd")
     gone = copies_of(lines, Order(lines), least_words)
     sizes = lines.groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.count_if(F.col("n") > 0).alias("n_lines"))
     each = gone.groupBy("rid").agg(F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near"), F.array_sort(F.collect_list("line_no")).alias("dropped"))

@@ -1,6 +1,7 @@
 """Operator 7, token counts: a digest cache of counts.
 
-The key is the SHA-256 digest of the content and of the tokenizer's file. Documents are
+The key is the SHA-256 digest of the content and of the tokenizer's file. Content is
+normalised only as far as provably keeps every count: null becomes empty. Documents are
 joined to the cache; only distinct misses are encoded, and appended to the cache (a folder
 of Parquet files that all executors share). Copies, however many, are encoded once.
 Null text counts as empty. Repeated rows each get a row. An empty table gives none.
@@ -41,8 +42,8 @@ def encode_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
 def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row; cache: the cache's folder (a new one if None).
 
-    The text is read twice but never shuffled: digests are, and of each missing digest one
-    row (the least file position) is chosen to carry its text to the encoder.
+    The text is read twice; of each missing digest one row (the least id) is chosen to carry
+    its text to the encoder. Texts move at most once, to where the chosen rows are joined.
     """
     spark = docs.sparkSession
     version, cache = version_of(tokenizer), cache or new_path(spark, "token-cache")
@@ -58,7 +59,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     # One document of each missing digest encodes it; repeated ids with other texts have other digests.
     chosen = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known, "digest", "left_anti")
     picked = chosen.select(F.xxhash64("doc_id", "digest").alias("pick"), F.col("digest").alias("need"))
-    misses = keyed.withColumn("pick", F.xxhash64("doc_id", "digest")).join(picked, "pick", "left_semi").select("digest", "text")
+    # As many rows as there are distinct texts: never to be broadcast, at any size.
+    misses = keyed.withColumn("pick", F.xxhash64("doc_id", "digest")).hint("merge").join(picked, "pick", "left_semi").select("digest", "text")
     encode_counts(misses, tokenizer).select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counts = materialize(counts, "counts")  # a plain scan on either side lets Spark split a hot digest
