@@ -1,8 +1,8 @@
 """Operator 5, quality classifier: histogram gradient-boosted trees over document statistics.
 
 Statistics are computed by Spark for every whole text. Trees are fitted in numpy on the
-driver, on labelled rows outside the held-out part: all of them up to `max_rows`, else a
-sample of that size by hash (a documented bound). Statistics are binned into at most 64
+driver, on labelled rows outside the held-out part: all of them up to `max_rows`, else as
+many of 4096 classes by hash as fit that number (a documented bound). Statistics are binned into at most 64
 bins, trees are grown best split first over gradient histograms, and flattened into arrays;
 scoring walks all rows of a batch down all trees by array lookups.
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, remainder
+from .common import materialize, remainder, spare_names
 from .docstats import quality_stats
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_distinct_words", "n_upper", "n_digits", "n_shouts", "n_bars", "n_stops", "n_chars_all"]
@@ -106,7 +106,13 @@ def fit(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees:
     """stats must hold only rows that may be learned from."""
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
     rows = stats.join(marks, "doc_id").select(F.xxhash64("doc_id").alias("h"), F.col("y").cast("double"), *[F.col(c).cast("double") for c in STATS])
-    data = np.array([tuple(r) for r in rows.orderBy("h").limit(max_rows).collect()], float).reshape(-1, 2 + len(STATS))
+    kinds, taken = [], 0
+    for kind, n in sorted(rows.groupBy(F.pmod("h", F.lit(4096)).alias("kind")).count().collect()):
+        if taken + n <= max_rows:
+            taken, kinds = taken + n, [*kinds, kind]
+    some = rows if len(kinds) == 4096 else rows.where(F.array_contains(F.lit(kinds), F.pmod("h", F.lit(4096)))) if kinds else rows.limit(0)
+    data = np.stack([c.to_numpy().astype(float) for c in some.toArrow().columns], axis=1)
+    data = data[np.lexsort(data.T[::-1])]
     return Trees.fit(features(data[:, 2:]), data[:, 1])
 
 
@@ -126,9 +132,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are predicted good, with their columns.
+    """The rows of docs that are predicted good, with their columns, whatever their names.
 
     Rows are matched by doc_id; an id that repeats stays if any of its rows is good.
     """
-    good = quality_scores(docs, labels, **options).where("predicted = 1").select(F.col("doc_id").alias("_keep"))
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    (keep,) = spare_names(docs.columns, "keep")
+    good = quality_scores(docs, labels, **options).where("predicted = 1").select(F.col("doc_id").alias(keep))
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col(keep)), "left_semi")
