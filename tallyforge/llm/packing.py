@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, materialize
+from .common import by_bytes, materialize, spare_names
 from .pieces import encoder
 
 CAPACITY = 2048
@@ -168,15 +168,19 @@ class Plan:
         return (r[:, 0] << 40) | r[:, 1], r[:, 1], r[:, 3], r[:, 4]
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = 64, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """Adds sequence_id and offset to pieces with a column length (1..capacity)."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_a_salt: int = 1 << 20, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+    """Adds sequence_id and offset to pieces with a column length (1..capacity); equal lengths are numbered in parts of about rows_a_salt rows."""
     spark, names = pieces.sparkSession, pieces.columns
-    rows = materialize(pieces, "pieces").withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    sums = rows.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    plan = Plan({int(r["length"]): int(r["n"]) for r in sums.groupBy("length").agg(F.sum("_n").alias("n")).collect()}, capacity)
-    before = sums.withColumn("_base", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_salt", F.coalesce("_base", F.lit(0)).alias("_base"))
-    own = Window.partitionBy("length", "_salt").orderBy(*order)
-    ranked = rows.withColumn("_rn", F.row_number().over(own)).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.col("_rn") - 1).select(*names, "_rank")
+    rows = materialize(pieces, "pieces")
+    salt, n, base, rn, rank = spare_names(names, "salt", "n", "base", "rn", "rank")
+    salts = max(64, rows.count() // rows_a_salt)
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)))
+    sums = rows.groupBy("length", salt).agg(F.count("*").alias(n))
+    plan = Plan({int(r["length"]): int(r["n"]) for r in sums.groupBy("length").agg(F.sum(n).alias("n")).collect()}, capacity)
+    ahead = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("length", salt, F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(base))
+    own = Window.partitionBy("length", salt).orderBy(*order)
+    ranked = rows.withColumn(rn, F.row_number().over(own)).join(before, ["length", salt]).withColumn(rank, F.col(base) + F.col(rn) - 1).select(*names, rank)
     shared = spark.sparkContext.broadcast(plan.arrays())
     at = names.index("length")
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
