@@ -14,7 +14,8 @@ all rows isn't sorted by one task.
 
 Null domain, language or source is a node of its own, "(null)". Null text has 0 tokens.
 Rows that repeat an id stand or fall together. A leaf with a budget of zero (no words, weight
-or total budget) and an empty table give no rows. Other columns are kept by `mix`.
+or total budget) and an empty table give no rows. Other columns, whatever their names, are kept
+by `mix`.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spare_names
 
 LEVELS = ("domain", "lang", "source")
 BIG = "decimal(38,0)"
@@ -57,7 +58,8 @@ def fill(nodes: DataFrame, parent: list[str], budget: str, cap: str, weight: str
     nodes = nodes.withColumn("_w", F.col(weight)).withColumn("_ratio", F.when(F.col("_w") > 0, F.col(cap).cast("double") / F.col("_w").cast("double")).otherwise(F.lit(float("inf"))))
     up = Window.partitionBy(*parent).orderBy("_ratio", *[c for c in LEVELS if c in nodes.columns])
     nodes = nodes.withColumn("_before", F.coalesce(F.sum(cap).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast(BIG))
-    nodes = nodes.withColumn("_rest", F.sum("_w").over(up.rowsBetween(0, Window.unboundedFollowing)).cast(BIG))
+    ahead = F.coalesce(F.sum("_w").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nodes = nodes.withColumn("_rest", (F.sum("_w").over(Window.partitionBy(*parent)) - ahead).cast(BIG))
     room = F.greatest(F.col(budget) - F.col("_before"), F.lit(0).cast(BIG))
     full = (F.col("_w") > 0) & F.coalesce(F.col(cap) * F.col("_rest") <= room * F.col("_w"), F.lit(False))
     family = Window.partitionBy(*parent)
@@ -84,7 +86,10 @@ def budgets(leaves: DataFrame, weights: dict[str, int], share: tuple[int, int],
 
 
 def mix(docs: DataFrame, domain: Column, weights: dict[str, int], share: tuple[int, int] = (7, 10), max_epochs: int = 2, seed: int = 7, bucket_digits: int = 3) -> DataFrame:
-    """The selected rows of docs with _domain, _epoch, _tokens, _budget added; a row returns once for each epoch that takes it."""
+    """The selected rows of docs with _domain, _epoch, _tokens, _budget added; a row returns once for each epoch that takes it.
+
+    Where docs has a column of such a name, the added one has one more underscore.
+    """
     null = F.lit("(null)")
     path = {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
     thin = docs.select("doc_id", *[F.coalesce(v.cast("string"), null).alias(k) for k, v in path.items()], words(F.col("text")).alias("tokens"))
@@ -103,12 +108,17 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, int], share: tuple[i
     inside = keyed.join(edge, [*LEVELS, "bucket"])
     rows = Window.partitionBy(*LEVELS).orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
     beyond = inside.withColumn("upto", F.col("before") + F.sum("tokens").over(rows)).where("upto > left").groupBy(*LEVELS).agg(F.min("key").alias("stop"))
-    plan = leaves.join(beyond, list(LEVELS), "left").select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "budget", "whole", "left", "stop")
+    names = spare_names(docs.columns, "d", "l", "s", "budget", "whole", "left", "stop")
+    d, l, s, budget, whole, left, stop = names  # noqa: E741
+    plan = leaves.join(beyond, list(LEVELS), "left").select(*LEVELS, "budget", "whole", "left", "stop").toDF(*names)
     plan = materialize(plan, "plan")
-    mine = docs.withColumn("_d", F.coalesce(domain.cast("string"), null)).withColumn("_l", F.coalesce(F.col("lang").cast("string"), null)).withColumn("_s", F.coalesce(F.col("source").cast("string"), null))
-    joined = mine.join(plan, (F.col("_d") == F.col("_domain")) & (F.col("_l") == F.col("_lang")) & (F.col("_s") == F.col("_source")))
-    last = (F.col("left") > 0) & (F.col("whole") < max_epochs) & (F.col("stop").isNull() | (order_key(seed, F.col("whole")) < F.col("stop")))
-    last = last & (F.col("budget") > 0)
-    full = F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>"))
-    epochs = F.concat(full, F.when(last, F.array("whole")).otherwise(F.array().cast("array<int>")))
-    return joined.select(*docs.columns, F.col("_d").alias("_domain"), F.explode(F.when(F.col("budget") > 0, epochs)).alias("_epoch"), words(F.col("text")).alias("_tokens"), F.col("budget").alias("_budget"))
+    own = spare_names([*docs.columns, *names], *LEVELS)
+    mine = docs.select("*", *[F.coalesce(v.cast("string"), null).alias(k) for k, v in zip(own, path.values())])
+    joined = mine.join(plan, (F.col(own[0]) == F.col(d)) & (F.col(own[1]) == F.col(l)) & (F.col(own[2]) == F.col(s)))
+    last = (F.col(left) > 0) & (F.col(whole) < max_epochs) & (F.col(stop).isNull() | (order_key(seed, F.col(whole)) < F.col(stop)))
+    last = last & (F.col(budget) > 0)
+    full = F.when(F.col(whole) > 0, F.sequence(F.lit(0), F.col(whole) - 1)).otherwise(F.array().cast("array<int>"))
+    epochs = F.concat(full, F.when(last, F.array(whole)).otherwise(F.array().cast("array<int>")))
+    added = spare_names(docs.columns, "_domain", "_epoch", "_tokens", "_budget")
+    values = [F.col(d), F.explode(F.when(F.col(budget) > 0, epochs)), words(F.col("text")), F.col(budget)]
+    return joined.select(*docs.columns, *[v.alias(k) for k, v in zip(added, values)])
