@@ -4,6 +4,8 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, length long, h double"
+#: Names of extra columns that clash with names the operators could use themselves.
+CLASHES = "budget left whole stop keep _keep kept _kept many _many sha _sha n d _d l _l s _s gone _gone rid pos line line_no at node word bit mask domain _domain epoch _epoch tokens _tokens _budget _salt _rn _n rank _rank held_out score predicted text_sha256 component_id root digest ids piece offset".split()
 
 
 def hostile_rows():
@@ -20,7 +22,10 @@ def hostile_rows():
 
 @pytest.fixture(scope="session")
 def hostile(spark):
-    return spark.createDataFrame(hostile_rows(), SCHEMA)
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame(hostile_rows(), SCHEMA)
+    return rows.select("*", *[F.lit(i).alias(c) if i % 2 else F.lit(c).alias(c) for i, c in enumerate(CLASHES)])
 
 
 @pytest.fixture(scope="session")
