@@ -1,70 +1,155 @@
-"""The bank registry and the two bank fields."""
+"""The bank that issued a receipt and the bank that receives, from names and codes that the text prints.
+
+All names are found in one scan; what each is comes from maps. A name where only the receiver's
+bank is printed excludes that bank's family from being the issuer. Rails (DuitNow, IBG, ...) are
+never banks.
+"""
 
 from __future__ import annotations
 
+import re
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spans import cleaned, once
-
-# Key, name, BIC, other names, parent of an Islamic subsidiary.
-REGISTRY = [
-    ("maybank", "Maybank", "MBBEMYKL", ["MAYBANK2U", "MALAYAN BANKING"], None),
-    ("cimb", "CIMB", "CIBBMYKL", ["CIMB BANK", "BIZCHANNEL"], None),
-    ("public_bank", "Public Bank", "PBBEMYKL", ["PBEBANK", "PBE BANK"], None),
-    ("rhb", "RHB", "RHBBMYKL", ["RHB BANK", "RHBNOW"], None),
-    ("hong_leong", "Hong Leong Bank", "HLBBMYKL", ["HONG LEONG", "HLB"], None),
-    ("ambank", "AmBank", "ARBKMYKL", ["AMONLINE", "AM BANK"], None),
-    ("alliance", "Alliance Bank", "MFBBMYKL", ["ALLIANCEONLINE", "BIZSMART"], None),
-    ("affin", "Affin Bank", "PHBMMYKL", ["AFFINONLINE"], None),
-    ("bank_islam", "Bank Islam", "BIMBMYKL", ["BIMB"], None),
-    ("bank_rakyat", "Bank Rakyat", "BKRMMYKL", ["IRAKYAT"], None),
-    ("hsbc", "HSBC", "HBMBMYKL", ["HSBC BANK"], None),
-    ("standard_chartered", "Standard Chartered", "SCBLMYKX", ["STRAIGHT2BANK"], None),
-    ("ocbc", "OCBC", "OCBCMYKL", ["OCBC BANK", "VELOCITY"], None),
-    ("uob", "UOB", "UOVBMYKL", ["UNITED OVERSEAS BANK"], None),
-    ("citibank", "Citibank", "CITIMYKL", ["CITIDIRECT"], None),
-    ("maybank_islamic", "Maybank Islamic", "MBISMYKL", [], "maybank"),
-    ("cimb_islamic", "CIMB Islamic", "CTBBMYKL", [], "cimb"),
-    ("rhb_islamic", "RHB Islamic Bank", "RHBAMYKL", ["RHB ISLAMIC"], "rhb"),
-]
-MONTH_FIRST = ["citibank"]
+from . import vocab
+from .spans import cleaned, once, spans
+
+REGISTRY = vocab.registry_rows()
+MONTH_FIRST = vocab.MONTH_FIRST
+BANKS = [r for r in REGISTRY if r["tier"] != "rail"]
+# How far the issuer's and receiver's marks reach, in characters; confidences in thousandths.
+HEAD, FOOT, NAME_AFTER, CODE_AFTER, GENERIC_AFTER, MARK_BEFORE = 150, 120, 450, 60, 200, 150
 # End of fixed values.
+_CODE = r"\b[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b"
+_SIDE = r"(?:BENEFICIARY|RECEIVING|RECIPIENT|PAYEE|CREDIT)(?:'S)?\s*BANK"
+
+
+def _pattern() -> str:
+    """All names in one pattern: by first character, the longest first."""
+    one = lambda n: r"\s+".join(re.escape(w) for w in n.split(" "))
+    names = sorted({n for r in BANKS for n in r["names"]}, key=lambda n: (n[0], -len(n), n))
+    heads = ["(?:" + "|".join(map(one, group)) + ")" for _, group in groupby(names, key=lambda n: n[0])]
+    return r"(?i:(?<![A-Za-z0-9])(?:" + "|".join(heads) + r")(?![A-Za-z0-9]))"
+
+
+NAMES = _pattern()
+
+
+def _map(pairs) -> Column:
+    return F.create_map(*[F.lit(x) for kv in pairs for x in kv])
 
 
 def registry(spark: SparkSession) -> DataFrame:
-    """The registry as a table: key, name, bic, alias (one row each), parent."""
-    rows = [(k, n, b, a, p) for k, n, b, more, p in REGISTRY for a in [n.upper(), *more]]
-    return spark.createDataFrame(rows, "key string, name string, bic string, alias string, parent string")
+    """The registry as a table: key, name, bic, alias (one row each), tier, parent."""
+    rows = [(r["key"], r["name"], r["bic"], a, r["tier"], r["parent"]) for r in REGISTRY for a in r["names"]]
+    return spark.createDataFrame(rows, "key string, name string, bic string, alias string, tier string, parent string")
+
+
+def repair(text: Column, ocr: Column) -> Column:
+    """Whole words that OCR makes of bank names, put right; only where the text came from OCR."""
+    out = text
+    for wrong, right in vocab.OCR_BANKS.items():
+        out = F.regexp_replace(out, rf"(?i)\b{wrong}\b", right)
+    return F.when(ocr & text.rlike(r"(?i)\b(?:" + "|".join(vocab.OCR_BANKS) + r")\b"), out).otherwise(text)
+
+
+def name_of(key: Column) -> Column:
+    return F.element_at(_map((r["key"], r["name"]) for r in REGISTRY), key)
+
+
+def root_of(key: Column) -> Column:
+    """The parent of an Islamic subsidiary, else the bank itself."""
+    return F.element_at(_map((r["key"], r["parent"] or r["key"]) for r in BANKS), key)
+
+
+def key_of_code(code: Column) -> Column:
+    """The bank of a code of eight or eleven characters."""
+    return F.element_at(_map((r["bic"], r["key"]) for r in REGISTRY if r["bic"]), F.substring(code, 1, 8))
+
+
+def mentions(text: Column) -> Column:
+    """(s, e, key, root, portal, size, line) of every name of a bank, from left to right."""
+    keys = _map((n, r["key"]) for r in reversed(BANKS) for n in r["names"])
+
+    def named(x: Column) -> Column:
+        name = F.upper(F.regexp_replace(x["v"], r"\s+", " "))
+        key = F.element_at(keys, name)
+        line = F.regexp_count(F.substring(text, F.lit(1), x["s"]), F.lit("\n"))
+        return F.struct(x["s"], x["e"], key.alias("key"), root_of(key).alias("root"), (name.isin(vocab.PORTALS) | name.rlike("[0-9]")).alias("portal"), F.length(name).alias("size"), line.alias("line"))
+
+    return F.transform(spans(text, NAMES), named)
 
 
-def mentioned(text: Column) -> Column:
-    """The bank that a text names: longest name first, then the earliest; a BIC where no name is found."""
-    hits = []
-    for key, name, bic, more, _ in REGISTRY:
-        for alias in [name.upper(), *more]:
-            at = F.regexp_instr(text, F.lit(r"(?i)(?<![A-Za-z0-9])" + alias.replace(" ", r"\s+") + r"(?![A-Za-z0-9])"))
-            hits.append(F.struct(F.lit(-len(alias)).alias("rank"), F.when(at > 0, at).alias("at"), F.lit(key).alias("key")))
-        at = F.locate(bic, text)
-        hits.append(F.struct(F.lit(0).alias("rank"), F.when(at > 0, at).alias("at"), F.lit(key).alias("key")))
-    return F.array_min(F.filter(F.array(*hits), lambda h: h["at"].isNotNull()))["key"]
+def _best(hits: Column) -> Column:
+    """The family with the longest name, then the most mentions, then the first."""
+    roots = F.array_distinct(F.transform(hits, lambda h: h["root"]))
+    own = lambda r: F.filter(hits, lambda h: h["root"] == r)
+    return F.array_min(F.transform(roots, lambda r: F.struct((-F.array_max(F.transform(own(r), lambda h: h["size"]))).alias("size"), (-F.size(own(r))).alias("n"), F.array_min(F.transform(own(r), lambda h: h["s"])).alias("s"), r.alias("root"))))["root"]
 
 
-def name_of(key: Column, collapse: bool = False) -> Column:
-    """A key's printed name; collapse: a subsidiary's parent instead."""
-    names = {k: n for k, n, *_ in REGISTRY}
-    table = F.create_map(*[F.lit(x) for k, n, _, _, p in REGISTRY for x in (k, names[p] if collapse and p else n)])
-    return F.element_at(table, key)
+def _named_after(hits: Column, at: Column, width: int) -> Column:
+    """The bank on the first line after a place that names one; lines with a portal's name don't count."""
+    portal_lines = F.transform(F.filter(hits, lambda h: h["portal"]), lambda h: h["line"])
+    near = F.filter(hits, lambda h: (h["s"] >= at) & (h["s"] < at + width) & ~F.array_contains(portal_lines, h["line"]))
+    return F.array_min(F.transform(near, lambda h: F.struct(h["line"], (-h["size"]).alias("size"), h["s"], h["key"])))["key"]
 
 
-def with_banks(df: DataFrame) -> DataFrame:
-    """Adds bank_key, bank (the issuer: from the head of the text, beneficiary lines left out) and beneficiary_bank."""
+def with_banks(df: DataFrame, ocr: Column | None = None) -> DataFrame:
+    """Adds bank_key, bank, bank_confidence, bank_source; beneficiary_bank with _confidence, _source."""
+    ocr = F.lit(False) if ocr is None else ocr
     df = cleaned(df)
-    line = r"(?im)^[ \t]*(?:Beneficiary|Recipient|Payee|Receiving)[ \t]*Bank[^\n:]*:?[ \t]*\n?[ \t]*([^\n]*)$"
-    there = F.regexp_extract("t", line, 1)
-    rest = F.regexp_replace("t", line, "")
-    head = mentioned(F.substring(F.col("_rest"), 1, 150))
-    df = once(df, _there=there, _rest=rest)
-    df = once(df, _head=head)
-    key, there = F.coalesce("_head", mentioned(F.col("_rest"))), F.col("_there")
-    return once(df, bank_key=key, beneficiary_bank=name_of(mentioned(there))).withColumn("bank", name_of(F.col("bank_key"), True)).drop("_there", "_rest", "_head")
+    df = once(df, _t=repair(F.col("t"), ocr))
+    t = F.col("_t")
+    code = lambda x: F.struct(x["s"], x["e"], key_of_code(x["v"]).alias("key"))
+    df = once(
+        df,
+        _hits=mentions(t),
+        _codes=F.filter(F.transform(spans(F.upper(t), _CODE), code), lambda x: x["key"].isNotNull()),
+        _names=spans(t, rf"(?i:{_SIDE}(?!\s*CODE)\b)"),
+        _code_labels=spans(t, r"(?i:BENEFICIARY\s*BANK\s*(?:[A-Z]+\s*)?CODE\b)"),
+        _plain=F.filter(spans(t, r"(?i:\bBANK\s*(?:NAME|CODE)\b|\bBANK\s*:)"), lambda x: F.substring(t, F.greatest(x["s"] - MARK_BEFORE + 1, F.lit(1)), F.least(x["s"], F.lit(MARK_BEFORE))).rlike(r"(?im)\b(?:PAYEE|RECIPIENT|BENEFICIARY|CREDIT)\b|^[ \t]*TO[ \t]*$")),
+    )
+    code_after = lambda at, width: F.get(F.filter("_codes", lambda c: (c["s"] >= at) & (c["e"] <= at + width)), F.lit(0))["key"]
+    hits = F.col("_hits")
+    theirs = F.concat(
+        F.transform("_names", lambda x: F.coalesce(_named_after(hits, x["e"], NAME_AFTER), code_after(x["e"], CODE_AFTER))),
+        F.transform("_code_labels", lambda x: code_after(x["e"], CODE_AFTER)),
+        F.transform("_plain", lambda x: _named_after(hits, x["e"], GENERIC_AFTER)),
+    )
+    df = once(df, _theirs=F.filter(F.transform(theirs, root_of), lambda k: k.isNotNull()))
+    lead = F.length(F.regexp_extract(t, r"^\s*", 0))
+    head = F.length(F.substring_index(F.substring(t, lead + 1, F.length(t)), "\n", 1))
+    whole = F.length(F.rtrim(F.regexp_replace(t, r"\s+$", "")))
+    foot = F.length(F.substring_index(F.substring(t, F.lit(1), whole), "\n", -1))
+    df = once(df, _lead=lead, _head=F.when(head <= HEAD, head).otherwise(0), _foot=F.when(foot <= FOOT, whole - foot).otherwise(whole + 1))
+    ours = F.filter("_hits", lambda h: ~F.array_contains("_theirs", h["root"]))
+    strong = lambda h: (h["e"] <= F.col("_lead") + F.col("_head")) | (h["s"] >= F.col("_foot")) | h["portal"] | F.substring(t, h["e"] + 1, F.lit(14)).rlike(r"(?i)^\s+Reference\b")
+    df = once(df, _ours=ours)
+    df = once(df, _strong=F.filter("_ours", strong))
+    first_code = F.slice(F.filter(F.transform("_codes", lambda c: F.struct(c["s"], c["e"], c["key"], root_of(c["key"]).alias("root"), F.lit(False).alias("portal"), F.lit(8).alias("size"), F.lit(0).alias("line"))), lambda c: c["root"].isNotNull()), 1, 1)
+    weak = F.concat("_ours", F.filter(first_code, lambda c: ~F.array_contains("_theirs", c["root"])))
+    df = once(df, _sure=_best(F.col("_strong")), _guess=_best(weak))
+    df = once(df, _by_code=code_after(F.get("_code_labels", F.lit(0))["e"], CODE_AFTER), _named=F.coalesce(_named_after(hits, F.get("_names", F.lit(0))["e"], NAME_AFTER), code_after(F.get("_names", F.lit(0))["e"], NAME_AFTER)))
+    generic = F.get(F.filter(F.transform("_plain", lambda x: _named_after(hits, x["e"], GENERIC_AFTER)), lambda k: k.isNotNull()), F.lit(0))
+    some_mark = (F.size("_names") > 0) | (F.size("_code_labels") > 0) | generic.isNotNull()
+    longest = F.array_min(F.transform("_hits", lambda h: F.struct((-h["size"]).alias("size"), h["s"], h["key"])))["key"]
+    df = once(df, _by_name=F.coalesce("_named", F.when(F.col("_by_code").isNull(), generic)), _any_code=F.get("_codes", F.lit(0))["key"], _near=F.when(some_mark, longest))
+    agree = F.col("_by_code").isNotNull() & F.coalesce(F.col("_by_code") == F.col("_by_name"), F.lit(False))
+    key = F.coalesce("_by_code", "_by_name", "_any_code", "_near")
+    points = F.when(agree, 970).when(F.col("_by_code").isNotNull(), 900).when(F.col("_by_name").isNotNull(), 850).when(F.col("_any_code").isNotNull(), 700).when(F.col("_near").isNotNull(), 550).otherwise(0)
+    why = F.when(agree, "label_code+name:").when(F.col("_by_code").isNotNull(), "label_code:").when(F.col("_by_name").isNotNull(), "label_name:").when(F.col("_any_code").isNotNull(), "bic_scan:").when(F.col("_near").isNotNull(), "alias_near_label:")
+    dec = lambda x: (x.cast("decimal(7,3)") / 1000).cast("decimal(4,3)")
+    empty = F.trim("t") == ""
+    bank = F.coalesce("_sure", "_guess")
+    df = df.withColumns(
+        {
+            "bank_key": bank, "bank": name_of(bank),
+            "bank_confidence": dec(F.when(F.col("_sure").isNotNull(), 950).when(F.col("_guess").isNotNull(), 600).otherwise(0)),
+            "bank_source": F.coalesce(F.concat(F.lit("strong_signal:"), "_sure"), F.concat(F.lit("bare_mention:"), "_guess"), F.when(empty, "empty_text").otherwise("no_bank_signal")),
+            "beneficiary_bank": name_of(key), "beneficiary_bank_confidence": dec(points),
+            "beneficiary_bank_source": F.coalesce(F.concat(why, key), F.when(empty, "empty_text").otherwise("no_beneficiary_signal")),
+        }
+    )
+    return df.drop("_t", "_hits", "_codes", "_names", "_code_labels", "_plain", "_theirs", "_lead", "_head", "_foot", "_ours", "_strong", "_sure", "_guess", "_by_code", "_named", "_by_name", "_any_code", "_near")

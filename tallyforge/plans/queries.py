@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import banks, fields, merge, text
+from ..functions import banks, dates, merge, money, references, text
+from ..operators import acquire
 from ..operators import extract as ex
 from ..operators import relational as rel
-from ..sources.files import export_rows
+from ..sources.files import export_rows, history_entries
 from ..sources.render import BANKS, receipts
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import QUERIES, SQL, query  # noqa: F401
+from .registry import table as _table
 
 def _bank_sql(expr: str) -> str:
-    return f"[{', '.join(repr(b[1]) for b in BANKS)}][({expr}) % {len(BANKS)} + 1]"
+    return f"[{', '.join(repr(b['name']) for b in BANKS)}][({expr}) % {len(BANKS)} + 1]"
 
 
 AMOUNT_SQL, DATE_SQL, REF_SQL = "CAST(o_totalprice AS DECIMAL(11,2))", "CAST(o_orderdate AS DATE)", "'TX' || lpad(o_orderkey::VARCHAR, 8, '0')"
@@ -41,23 +24,23 @@ LAYOUT_SQL = "o_orderkey % 6"
 
 @query(f"""SELECT o_orderkey AS doc_id, {_bank_sql('o_custkey')} AS bank, {_bank_sql('o_custkey + 5')} AS beneficiary_bank, {REF_SQL} AS reference_id, {DATE_SQL} AS date, {AMOUNT_SQL} AS amount,
 CAST(0.53 AS DECIMAL(11,2)) AS fee, CASE WHEN {LAYOUT_SQL} IN (0, 1, 5) THEN CAST({AMOUNT_SQL} + 0.53 AS DECIMAL(11,2)) END AS total_debit, 'Payer House ' || o_custkey AS payer, 'Supply Works ' || o_orderkey AS beneficiary,
-'Interbank GIRO (IBG)' AS payment_mode, {LAYOUT_SQL} = 4 AS needs_review, TRUE AS is_ibg FROM orders""")
+'Interbank GIRO (IBG)' AS payment_mode, CAST(CASE {LAYOUT_SQL} WHEN 2 THEN 0.948 WHEN 3 THEN 0.935 WHEN 4 THEN 0.885 ELSE 0.965 END AS DECIMAL(4,3)) AS overall_confidence, FALSE AS needs_review, TRUE AS is_ibg FROM orders""")
 def flagship_extract_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field of every receipt."""
-    return ex.extract(receipts(spark, sf_dir)).select("doc_id", "bank", "beneficiary_bank", "reference_id", "date", "amount", "fee", "total_debit", "payer", "beneficiary", "payment_mode", "needs_review", "is_ibg")
+    return ex.extract(receipts(spark, sf_dir)).select("doc_id", "bank", "beneficiary_bank", "reference_id", "date", "amount", "fee", "total_debit", "payer", "beneficiary", "payment_mode", "overall_confidence", "needs_review", "is_ibg")
 
 
-@query(f"SELECT {LAYOUT_SQL} AS layout, CASE {LAYOUT_SQL} WHEN 2 THEN 'weak_label' WHEN 3 THEN 'value_above' WHEN 4 THEN 'currency' ELSE 'label' END AS amount_source, sum({AMOUNT_SQL})::DECIMAL(28,2) AS amount, count(*) AS n FROM orders GROUP BY ALL")
+@query(f"SELECT {LAYOUT_SQL} AS layout, CASE {LAYOUT_SQL} WHEN 2 THEN 'label:weak' WHEN 3 THEN 'label:weak:above' WHEN 4 THEN 'currency_prefix:RM' ELSE 'label:strong' END AS amount_source, sum({AMOUNT_SQL})::DECIMAL(28,2) AS amount, count(*) AS n FROM orders GROUP BY ALL")
 def amount_by_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts found inline, above or below their label, and by currency alone."""
-    found = fields.with_money(receipts(spark, sf_dir))
+    found = money.with_money(receipts(spark, sf_dir))
     return found.groupBy(F.pmod("doc_id", F.lit(6)).alias("layout"), "amount_source").agg(F.sum("amount").cast("decimal(28,2)").alias("amount"), F.count("*").alias("n"))
 
 
-@query(f"SELECT CASE WHEN {LAYOUT_SQL} = 5 THEN 'fee:restated_total' ELSE 'fee:sum_of_components' END AS fee_source, sum(0.53)::DECIMAL(28,2) AS fee, count(*) AS n, count(CASE WHEN {LAYOUT_SQL} IN (0, 1, 5) THEN 1 END) AS with_total FROM orders GROUP BY ALL")
+@query(f"SELECT CASE WHEN {LAYOUT_SQL} = 5 THEN 'label:fee' ELSE 'fee:sum_of_components' END AS fee_source, sum(0.53)::DECIMAL(28,2) AS fee, count(*) AS n, count(CASE WHEN {LAYOUT_SQL} IN (0, 1, 5) THEN 1 END) AS with_total FROM orders GROUP BY ALL")
 def fees_and_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fees as sums or restated totals; totals only where printed."""
-    found = fields.with_money(receipts(spark, sf_dir))
+    found = money.with_money(receipts(spark, sf_dir))
     return found.groupBy("fee_source").agg(F.sum("fee").cast("decimal(28,2)").alias("fee"), F.count("*").alias("n"), F.count("total_debit").alias("with_total"))
 
 
@@ -65,21 +48,21 @@ def fees_and_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dates_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates in four formats, month first for one bank; print stamps never win."""
     found = banks.with_banks(receipts(spark, sf_dir))
-    return fields.with_date(found, F.col("bank_key").isin(*banks.MONTH_FIRST)).groupBy("date", "date_tier").agg(F.count("*").alias("n"))
+    return dates.with_date(found, F.col("bank_key")).groupBy("date", "date_tier").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT o_orderkey AS doc_id, {REF_SQL} AS value, 'bank_primary' AS role FROM orders UNION ALL SELECT o_orderkey, 'INV' || o_custkey, 'payer_supplied' FROM orders")
 def references_all_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reference with its role."""
-    return fields.with_references(receipts(spark, sf_dir)).select("doc_id", F.explode("references").alias("r")).select("doc_id", "r.value", "r.role")
+    return references.with_references(receipts(spark, sf_dir)).select("doc_id", F.explode("references").alias("r")).select("doc_id", "r.value", "r.role")
 
 
-@query(f"SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'PN' || o_orderkey WHEN o_orderkey % 3 = 1 THEN 'TR' || o_orderkey END AS reference_id, CASE WHEN o_orderkey % 3 = 0 THEN 'bank_secondary' WHEN o_orderkey % 3 = 1 THEN 'bank_secondary,bank_primary' ELSE '' END AS roles FROM orders")
+@query(f"SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'PN' || o_orderkey WHEN o_orderkey % 3 = 1 THEN 'TR' || o_orderkey END AS reference_id, CASE WHEN o_orderkey % 3 = 0 THEN 'bank_primary' WHEN o_orderkey % 3 = 1 THEN 'bank_secondary,bank_primary' ELSE '' END AS roles FROM orders")
 def reference_demoted_promoted_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lone secondary reference is promoted, "Bank Reference" gives way to a main one, a dash is a blank."""
     k = F.col("o_orderkey").cast("string")
     body = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("PayNet Reference No : PN"), k)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("Bank Reference : BR"), k, F.lit("\nTransaction Reference : TR"), k)).otherwise(F.lit("Transaction Reference : -\nDate : x"))
-    found = fields.with_references(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), body.alias("text")))
+    found = references.with_references(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), body.alias("text")))
     return found.select("doc_id", "reference_id", F.array_join(F.transform("references", lambda r: r["role"]), ",").alias("roles"))
 
 
@@ -89,26 +72,33 @@ def banks_of_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return banks.with_banks(receipts(spark, sf_dir)).groupBy("bank", "beneficiary_bank").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT bic, count(*) AS n FROM (SELECT [{', '.join(repr(b[2]) for b in BANKS)}][o_custkey % {len(BANKS)} + 1] AS bic FROM orders) GROUP BY bic")
+@query(f"SELECT bic, count(*) AS n FROM (SELECT [{', '.join(repr(b['bic']) for b in BANKS)}][o_custkey % {len(BANKS)} + 1] AS bic FROM orders) GROUP BY bic")
 def bank_by_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of eight or eleven letters joined to the registry, a fixed small table."""
-    code = F.element_at(F.array(*[F.lit(b[2]) for b in BANKS]), (F.col("o_custkey") % len(BANKS) + 1).cast("int"))
+    code = F.element_at(F.array(*[F.lit(b['bic']) for b in BANKS]), (F.col("o_custkey") % len(BANKS) + 1).cast("int"))
     codes = _table(spark, sf_dir, "orders").select(F.substring(F.concat(code, F.when(F.col("o_orderkey") % 2 == 0, "XXX").otherwise("")), 1, 8).alias("bic"))
     return codes.join(F.broadcast(banks.registry(spark).select("bic").distinct()), "bic").groupBy("bic").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT doc_id, length(trim(coalesce(text, ''))) < 50 AS garbage FROM documents""")
+@query(r"""SELECT doc_id, doc_id % 4 IN (1, 2) OR length(trim(coalesce(text, ''))) < 50 AS garbage FROM documents""")
 def garbage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that acquisition refuses."""
-    return _table(spark, sf_dir, "documents").select("doc_id", text.is_garbage(F.col("text")).alias("garbage"))
+    """Texts that acquisition refuses: short ones, codes in place of characters, characters that can't be printed."""
+    docs, k = _table(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    t = F.coalesce("text", F.lit(""))
+    spoilt = F.when(k == 1, F.concat(t, F.lit(" (cid:1)(cid:22)(cid:3)"))).when(k == 2, F.concat(F.lit("abc"), F.repeat(F.lit("\u0003\u0004"), F.length(t) + 50), t)).when(k == 3, F.concat(t, F.lit(" (cid:1)(cid:2)"))).otherwise(t)
+    # Two codes are no garbage, but they make a text longer: cut it back.
+    spoilt = F.when((k == 3) & (F.length(F.trim(t)) < 50), t).otherwise(spoilt)
+    return docs.select("doc_id", text.is_garbage(spoilt).alias("garbage"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ocr' WHEN length(trim(text)) < 50 THEN 'ocr' ELSE 'embedded' END AS text_source, doc_id % 3 = 0 OR length(trim(text)) < 50 AS ocr_used FROM documents")
+@query("""SELECT doc_id, CASE WHEN length(trim(text)) < 50 OR text IS NULL THEN 'none' ELSE ['embedded', 'ocr', 'vision', 'pdfplumber'][doc_id % 4 + 1] END AS text_source,
+CASE WHEN length(trim(text)) < 50 OR text IS NULL THEN 0 ELSE [0.7, 0.81, 0.66, 0.4][doc_id % 4 + 1] END::DECIMAL(4,3) AS confidence, text IS NULL OR length(trim(text)) < 50 OR doc_id % 4 IN (1, 2) AS ocr_used FROM documents""")
 def acquisition_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rung with usable text wins; OCR was used unless the text was embedded."""
-    docs = _table(spark, sf_dir, "documents").withColumn("embedded", F.when(F.col("doc_id") % 3 != 0, F.col("text")))
-    source = F.when(~text.is_garbage(F.col("embedded")), "embedded").otherwise("ocr")
-    return docs.select("doc_id", source.alias("text_source"), (source != "embedded").alias("ocr_used"))
+    """The first rung with usable text counts, with its confidence; four rungs, and none."""
+    k = F.col("doc_id") % 4
+    have = {rung: F.when(k == i, F.col("text")) for i, rung in enumerate(("embedded", "ocr", "vision", "pdfplumber"))}
+    chosen = acquire.ladder(have, {"ocr": F.lit("0.81"), "vision": F.lit("0.66")})
+    return _table(spark, sf_dir, "documents").select("doc_id", chosen.alias("c")).select("doc_id", F.col("c.source").alias("text_source"), "c.confidence", "c.ocr_used")
 
 
 @query(f"""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 0 THEN 'both' WHEN o_orderkey % 4 = 1 THEN 'conflict' WHEN o_orderkey % 4 = 2 THEN 'local' ELSE 'other' END AS source,
@@ -158,7 +148,7 @@ def items_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.top_in_group(_table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 3).select("user_id", "event_id", "rank")
 
 
-@query(f"SELECT {_bank_sql('o_custkey')} AS bank, count(*) AS receipts, count(*) AS with_amount, count(CASE WHEN {LAYOUT_SQL} IN (0, 1, 5) THEN 1 END) AS with_total, count(CASE WHEN {LAYOUT_SQL} = 4 THEN 1 END) AS for_review, 2.0::DECIMAL(4,2) AS mean_references FROM orders GROUP BY ALL")
+@query(f"SELECT {_bank_sql('o_custkey')} AS bank, count(*) AS receipts, count(*) AS with_amount, count(CASE WHEN {LAYOUT_SQL} IN (0, 1, 5) THEN 1 END) AS with_total, 0::BIGINT AS for_review, 2.0::DECIMAL(4,2) AS mean_references FROM orders GROUP BY ALL")
 def audit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each field was found, by bank."""
     r = ex.extract(receipts(spark, sf_dir))
@@ -168,8 +158,8 @@ def audit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT o_orderpriority AS grp, grouping(o_orderpriority)::INT AS whole, count(*) AS n, count(CASE WHEN {LAYOUT_SQL} <> 4 THEN 1 END) AS labelled FROM orders GROUP BY ROLLUP (o_orderpriority)")
 def evaluation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics by group and over all in one pass."""
-    found = fields.with_money(receipts(spark, sf_dir)).select("doc_id", "amount_source").join(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("grp")), "doc_id")
-    return found.rollup("grp").agg(F.grouping("grp").cast("int").alias("whole"), F.count("*").alias("n"), F.count_if(F.col("amount_source") != "currency").alias("labelled"))
+    found = money.with_money(receipts(spark, sf_dir)).select("doc_id", "amount_source").join(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("grp")), "doc_id")
+    return found.rollup("grp").agg(F.grouping("grp").cast("int").alias("whole"), F.count("*").alias("n"), F.count_if(F.col("amount_source").startswith("label")).alias("labelled"))
 
 
 @query(r"SELECT p_brand, format, n FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, format) AS rank FROM (SELECT p_brand, format, count(*) AS n FROM (SELECT p_brand, CASE WHEN regexp_matches(p_name, '^[A-Za-z]+$') THEN 'alpha_' || length(p_name) ELSE 'mixed_special' END AS format FROM part) GROUP BY p_brand, format)) WHERE rank <= 5")
@@ -196,21 +186,6 @@ def asof_next_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.next_match(e, "user_id", ["ts", "event_id"], F.col("event_type") == "click", F.col("event_type") == "purchase", "value_id").select("event_id", "matched")
 
 
-@query()
-def deterministic_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """70/10/20 by a hash of the key."""
-    return rel.hash_split(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", {"train": 70, "validate": 10, "test": 20})
-
-
-@query("SELECT doc_id, 1.000::DECIMAL(4,3) AS weight FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 0.500::DECIMAL(4,3) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND n_chars > 500")
-def labelled_union_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled rows with full weight, others with half."""
-    labels = _table(spark, sf_dir, "labels")
-    own = labels.where("quality = 1").select("doc_id", F.lit("1.000").cast("decimal(4,3)").alias("weight"))
-    rest = _table(spark, sf_dir, "documents").where("n_chars > 500").select("doc_id", F.lit("0.500").cast("decimal(4,3)").alias("weight")).join(labels.select("doc_id"), "doc_id", "left_anti")
-    return own.unionByName(rest)
-
-
 @query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'No 12545 paid' ELSE 'No l2S45 paid' END AS fixed FROM orders")
 def ocr_repair_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confused letters become digits only where the text came from OCR."""
@@ -237,3 +212,34 @@ def classifier_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     hit = (F.col("n_chars") > 800) == (F.col("quality") == 1)
     return j.groupBy("quality").agg(F.count("*").alias("n"), F.count_if(hit).alias("right_ones"), F.count_if(F.col("n_chars") > 800).alias("predicted"))
+
+
+@query("SELECT event_id, user_id FROM (SELECT event_id, user_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100)")
+def dataset_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last hundred items, oldest first: a top-k report."""
+    return rel.last_items(_table(spark, sf_dir, "events"), ["ts", "event_id"]).select("event_id", "user_id")
+
+
+@query("""SELECT a.event_id, arg_min(b.event_id, struct_pack(d := abs(a.event_id - b.event_id), e := b.event_id)) AS nearest FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'purchase' WHERE a.event_type = 'click' GROUP BY a.event_id""")
+def nearest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each click the user's purchase whose number is nearest."""
+    e = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type").withColumn("at", F.col("event_id"))
+    buys = e.where("event_type = 'purchase'").withColumn("v", F.col("event_id"))
+    return rel.nearest(e.where("event_type = 'click'").select("event_id", "user_id", "at"), buys.select("user_id", "at", "v"), "user_id", "at", "v").select("event_id", "nearest")
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
+SELECT a.event_id, arg_min(b.event_id, b.n) AS found FROM n a LEFT JOIN n b ON a.user_id = b.user_id AND b.n > a.n AND b.n <= a.n + 8 AND b.event_type = 'purchase' WHERE a.event_type = 'click' GROUP BY a.event_id""")
+def look_ahead_eight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each click the first purchase among the user's next eight events."""
+    e = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type").withColumn("v", F.col("event_id"))
+    return rel.looking_ahead(e, "user_id", ["ts", "event_id"], F.col("event_type") == "click", F.col("event_type") == "purchase", "v").select("event_id", "found")
+
+
+@query("SELECT o_orderkey AS doc_id, 'success' AS status, 'TX' || lpad(o_orderkey::VARCHAR, 8, '0') AS reference_id FROM orders")
+def history_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the history with their status."""
+    return history_entries(ex.extract(receipts(spark, sf_dir))).select("doc_id", "status", "reference_id")
+
+
+from . import engine_queries, evaluation_queries, older_queries  # noqa: E402, F401
