@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import patterns, text
+from ..functions import generations, patterns, text
 from ..operators import tokens as tk
 from ..sources import render
 from .engine_queries import AMOUNT, DAY, TX, sql_pick
@@ -146,3 +146,39 @@ def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = render.pick(["TX-12ab34", "abc", "ab", ""], F.col("p_partkey")), render.pick(["tx12AB34", "abd", "xyzxyza", "x"], F.col("p_partkey"))
     c = render.pick(["TX-12ab34", "ab12", "TX-12ab34", ""], F.col("p_partkey"))
     return table(spark, sf_dir, "part").select("p_partkey", text.similarity(a, b).alias("likeness"), text.complexity(c).alias("complexity"))
+
+
+_RULED = [("Maybank", "MYCN12345678", "1.00", "1.00"), ("Maybank", "12345", "0.60", "0.60"), ("CIMB", "B10-2510-625105", "1.00", "1.00"), ("Public Bank", "PBB12345", "1.00", "1.00"), ("RHB", "123456", "0.90", "0.70"), ("HSBC", "HSBC1234567", "1.00", "0.80"), ("DuitNow", "ABC123", "0.60", "0.70"), ("Affin Bank", "X1", "0.60", "0.00"), ("Bank of Nowhere", "AB12345678", None, "0.80")]
+
+
+@query(f"SELECT p_partkey, {sql_pick([r[2] for r in _RULED], 'p_partkey')}::DECIMAL(3,2) AS by_bank, {sql_pick([r[3] for r in _RULED], 'p_partkey')}::DECIMAL(3,2) AS by_name FROM part")
+def bank_id_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How sure ids are by the rules of twelve banks, and by words of a bank's name."""
+    bank, v = render.pick([r[0] for r in _RULED], F.col("p_partkey")), render.pick([r[1] for r in _RULED], F.col("p_partkey"))
+    return table(spark, sf_dir, "part").select("p_partkey", generations.bank_id_confidence(bank, v).alias("by_bank"), generations.named_id_confidence(bank, v).alias("by_name"))
+
+
+@query(f"""SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN strftime({DAY}, '%d/%m/%Y') WHEN 1 THEN strftime({DAY}, '%d/%m/%Y') WHEN 2 THEN strftime({DAY}, '%d/%m/%Y') WHEN 3 THEN '05/06/1999' ELSE '05/06/2025' END AS date FROM orders""")
+def second_engine_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as day, month and year: names of months, ISO, short and impossible years."""
+    o = render.orders_of(spark, sf_dir)
+    k, d = F.col("o_orderkey") % 5, lambda f: F.date_format("o_orderdate", f)
+    body = F.when(k == 0, d("d MMM yyyy")).when(k == 1, d("yyyy-MM-dd")).when(k == 2, F.concat(F.lit("on "), d("MMM d, yyyy"))).when(k == 3, "5 Jun 99").otherwise("5 June 2044")
+    return o.select(F.col("o_orderkey").alias("doc_id"), generations.second_date(body).alias("date"))
+
+
+@query(f"""SELECT o_orderkey AS doc_id, 'CIMB' AS bank_name, 'B10-9910-' || {TX} AS transaction_id, 'RM ' || CAST({AMOUNT} AS VARCHAR) AS amount, strftime({DAY}, '%d/%m/%Y') AS date, 0.99::DECIMAL(3,2) AS confidence, 'CIMB' AS by_words, 24 AS score FROM orders""")
+def second_engine_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of the second engine, and the bank by words."""
+    o = render.orders_of(spark, sf_dir)
+    body = F.concat(F.lit("CIMB Bank receipt\nReference: B10-9910-"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit("\nAmount: RM "), F.col("o_totalprice").cast("decimal(11,2)").cast("string"), F.lit("\nDate "), F.date_format("o_orderdate", "dd MMM yyyy"))
+    rows = o.select(F.col("o_orderkey").alias("doc_id"), body.alias("text"))
+    got = generations.extract_second(rows).withColumn("w", generations.keyword_bank(F.col("text")))
+    return got.select("doc_id", "bank_name", F.get("transaction_ids", F.lit(0)).alias("transaction_id"), "amount", "date", "confidence", F.col("w.bank").alias("by_words"), F.col("w.score").alias("score"))
+
+
+@query(f"SELECT o_orderkey AS doc_id, 'TX' || {TX} AS value, 300 AS left_edge FROM orders")
+def label_token_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word after a label's word, and its box."""
+    pages = tk.assemble(_words(spark, sf_dir)).withColumn("value", generations.value_after_label(F.col("tokens")))
+    return pages.select("doc_id", "value", generations.box_of(F.col("tokens"), F.lower("value"))["left"].alias("left_edge"))
