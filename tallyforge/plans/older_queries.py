@@ -148,7 +148,7 @@ def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.similarity(a, b).alias("likeness"), text.complexity(c).alias("complexity"))
 
 
-_RULED = [("Maybank", "MYCN12345678", "1.00", "1.00"), ("Maybank", "12345", "0.60", "0.60"), ("CIMB", "B10-2510-625105", "1.00", "1.00"), ("Public Bank", "PBB12345", "1.00", "1.00"), ("RHB", "123456", "0.90", "0.70"), ("HSBC", "HSBC1234567", "1.00", "0.80"), ("DuitNow", "ABC123", "0.60", "0.70"), ("Affin Bank", "X1", "0.60", "0.00"), ("Bank of Nowhere", "AB12345678", None, "0.80")]
+_RULED = [("Maybank", "MYCN12345678", "1.00", "1.00"), ("Maybank", "12345", "0.60", "0.60"), ("CIMB", "B10-2510-625105", "1.00", "1.00"), ("Public Bank", "PBB12345", "1.00", "1.00"), ("RHB", "123456", "0.90", "0.60"), ("HSBC", "HSBC1234567", "1.00", "0.80"), ("DuitNow", "ABC123", "0.60", "0.70"), ("Affin Bank", "X1", "0.60", "0.00"), ("Bank of Nowhere", "AB12345678", None, "0.80")]
 
 
 @query(f"SELECT p_partkey, {sql_pick([r[2] for r in _RULED], 'p_partkey')}::DECIMAL(3,2) AS by_bank, {sql_pick([r[3] for r in _RULED], 'p_partkey')}::DECIMAL(3,2) AS by_name FROM part")
