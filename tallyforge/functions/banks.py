@@ -7,9 +7,6 @@ never banks.
 
 from __future__ import annotations
 
-import re
-from itertools import groupby
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +24,8 @@ _SIDE = r"(?:BENEFICIARY|RECEIVING|RECIPIENT|PAYEE|CREDIT)(?:'S)?\s*BANK"
 
 
 def _pattern() -> str:
-    """All names in one pattern: by first character, the longest first."""
-    one = lambda n: r"\s+".join(re.escape(w) for w in n.split(" "))
-    names = sorted({n for r in BANKS for n in r["names"]}, key=lambda n: (n[0], -len(n), n))
-    heads = ["(?:" + "|".join(map(one, group)) + ")" for _, group in groupby(names, key=lambda n: n[0])]
-    return r"(?i:(?<![A-Za-z0-9])(?:" + "|".join(heads) + r")(?![A-Za-z0-9]))"
+    """All names in one pattern."""
+    return r"(?i:(?<![A-Za-z0-9])" + vocab.any_of([n for r in BANKS for n in r["names"]], r"\s+") + r"(?![A-Za-z0-9]))"
 
 
 NAMES = _pattern()

@@ -165,7 +165,28 @@ def reference_pattern() -> str:
     return r"(?i:(?<![A-Za-z0-9])(?:" + "|".join(parts) + r")(?![A-Za-z0-9]))"
 
 
+def any_of(names: list[str], blank: str) -> str:
+    """A pattern of names (in any case) with common beginnings written once, so that a scan fails early; the longest match first.
+
+    Names are words with one blank between; `blank` is the pattern that a blank stands for.
+    """
+    tree: dict = {}
+    for name in names:
+        at = tree
+        for c in name.lower():
+            at = at.setdefault(blank if c == " " else re.escape(c), {})
+        at[""] = {}
+
+    def write(node: dict) -> str:
+        ways = [c + write(sub) for c, sub in node.items() if c]
+        if not ways:
+            return ""
+        body = ways[0] if len(ways) == 1 and "" not in node else "(?:" + "|".join(ways) + ")"
+        return body + ("?" if "" in node else "")
+
+    return "(?:" + write(tree) + ")"
+
+
 def phrases(names: list[str]) -> str:
-    """A pattern of phrases, blanks between words being optional, as a group without capture; the longest first."""
-    one = lambda p: r"[ \t]*".join(re.escape(w) for w in re.findall(r"[A-Za-z0-9'’.]+|[^\sA-Za-z0-9'’.]", p))
-    return "(?:" + "|".join(one(p) for p in sorted(names, key=len, reverse=True)) + ")"
+    """A pattern of phrases, blanks between words being optional, as a group without capture."""
+    return any_of([" ".join(re.findall(r"[A-Za-z0-9'’.]+|[^\sA-Za-z0-9'’.]", p)) for p in names], r"[ \t]*")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import generations, patterns, text
+from ..functions import generations, money, patterns, text
+from ..operators import service
 from ..operators import tokens as tk
 from ..sources import render
 from .engine_queries import AMOUNT, DAY, TX, sql_pick
@@ -148,6 +149,28 @@ def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.similarity(a, b).alias("likeness"), text.complexity(c).alias("complexity"))
 
 
+@query(f"""SELECT o_orderkey AS doc_id, e.engine, 'HSBC' AS bank, 'HSBC' || {TX} AS reference, CASE e.engine WHEN 'label' THEN CAST({DAY} AS VARCHAR) ELSE strftime({DAY}, '%d/%m/%Y') END AS date, CASE e.engine WHEN 'second' THEN 'RM ' ELSE '' END || CAST({AMOUNT} AS VARCHAR) AS amount FROM orders, (VALUES ('label'), ('pattern'), ('second')) e(engine)""")
+def engines_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three engines behind one contract, on the same receipts."""
+    o = render.orders_of(spark, sf_dir)
+    body = F.concat(F.lit("HSBC\nTransaction Reference: HSBC"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit("\nTransaction Reference No : HSBC"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit("\nValue Date "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("\nAmount RM "), F.col("o_totalprice").cast("decimal(11,2)").cast("string"))
+    rows = o.select(F.col("o_orderkey").alias("doc_id"), body.alias("text"))
+    parts = [service.extract_with(e, rows).withColumn("engine", F.lit(e)) for e in ("label", "pattern", "second")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "engine", "bank", "reference", "date", "amount")
+
+
+@query("SELECT 'ok' AS status, 3 AS engines, 50 AS banks, 9 AS rails")
+def service_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the service says about itself."""
+    return service.health(spark).select("status", F.size("engines").alias("engines"), "banks", "rails")
+
+
+@query(f"SELECT o_orderkey AS doc_id, 0 AS place, {AMOUNT} AS value, 98 AS score FROM orders")
+def amount_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each amount that was considered."""
+    return service.candidates(money.with_money(render.portal_blocks(spark, sf_dir))).select("doc_id", "place", "value", "score")
+
+
 _RULED = [("Maybank", "MYCN12345678", "1.00", "1.00"), ("Maybank", "12345", "0.60", "0.60"), ("CIMB", "B10-2510-625105", "1.00", "1.00"), ("Public Bank", "PBB12345", "1.00", "1.00"), ("RHB", "123456", "0.90", "0.60"), ("HSBC", "HSBC1234567", "1.00", "0.80"), ("DuitNow", "ABC123", "0.60", "0.70"), ("Affin Bank", "X1", "0.60", "0.00"), ("Bank of Nowhere", "AB12345678", None, "0.80")]
 
 

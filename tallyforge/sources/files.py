@@ -79,6 +79,14 @@ def table_rows(results: DataFrame) -> DataFrame:
     return results.select(F.col("doc_id").cast("string").alias("id"), whole.alias("data"), F.col("bank").alias("Bank_Name"), F.col("reference_id").alias("Reference_Id"), F.col("amount").cast("string").alias("amount"), F.col("date").cast("string").alias("date"))
 
 
+def merged_data(rows: DataFrame, updates: DataFrame) -> DataFrame:
+    """rows (id, data as JSON) with the keys of updates (id, data) put over their own; other rows as they are."""
+    own, new = (F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>")) for c in ("data", "_new"))
+    over = F.map_concat(F.map_filter(own, lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
+    joined = rows.join(updates.select("id", F.col("data").alias("_new")), "id", "left")
+    return joined.select(*[F.when(F.col("_new").isNotNull(), F.to_json(over)).otherwise(F.col("data")).alias("data") if c == "data" else c for c in rows.columns])
+
+
 def with_errors(files: DataFrame, texts: DataFrame) -> DataFrame:
     """Every file with its text or why there is none: refused type, unreadable, too short."""
     joined = files.drop("content").join(texts.select("path", "text"), "path", "left")

@@ -72,6 +72,13 @@ def test_database_rows(spark):
     assert (row["id"], row["Bank_Name"], row["amount"]) == ("1", "RHB", "5.00") and '"reference_id":"TX1"' in row["data"]
 
 
+def test_merged_data(spark):
+    rows = spark.createDataFrame([("1", '{"a": "x", "b": "y"}'), ("2", None), ("3", "broken")], "id string, data string")
+    new = spark.createDataFrame([("1", '{"b": "z", "c": "w"}'), ("2", '{"a": "q"}')], "id string, data string")
+    got = {r["id"]: r["data"] for r in files.merged_data(rows, new).collect()}
+    assert got == {"1": '{"a":"x","b":"z","c":"w"}', "2": '{"a":"q"}', "3": "broken"}
+
+
 def one(spark, body, **options):
     return extract(spark.createDataFrame([(1, body)], "doc_id long, text string"), **options).first().asDict()
 
