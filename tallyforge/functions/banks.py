@@ -24,8 +24,8 @@ _SIDE = r"(?:BENEFICIARY|RECEIVING|RECIPIENT|PAYEE|CREDIT)(?:'S)?\s*BANK"
 
 
 def _pattern() -> str:
-    """All names in one pattern."""
-    return r"(?i:(?<![A-Za-z0-9])" + vocab.any_of([n for r in BANKS for n in r["names"]], r"\s+") + r"(?![A-Za-z0-9]))"
+    """All names in one pattern, for text in capitals."""
+    return r"(?<![A-Z0-9])" + vocab.any_of([n for r in BANKS for n in r["names"]], r"\s+") + r"(?![A-Z0-9])"
 
 
 NAMES = _pattern()
@@ -68,12 +68,13 @@ def mentions(text: Column) -> Column:
     keys = _map((n, r["key"]) for r in reversed(BANKS) for n in r["names"])
 
     def named(x: Column) -> Column:
-        name = F.upper(F.regexp_replace(x["v"], r"\s+", " "))
+        name = F.regexp_replace(x["v"], r"\s+", " ")
         key = F.element_at(keys, name)
         line = F.regexp_count(F.substring(text, F.lit(1), x["s"]), F.lit("\n"))
         return F.struct(x["s"], x["e"], key.alias("key"), root_of(key).alias("root"), (name.isin(vocab.PORTALS) | name.rlike("[0-9]")).alias("portal"), F.length(name).alias("size"), line.alias("line"))
 
-    return F.transform(spans(text, NAMES), named)
+    # Only ASCII letters change, so places stay what they are.
+    return F.transform(spans(F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), NAMES), named)
 
 
 def _best(hits: Column) -> Column:
@@ -90,11 +91,21 @@ def _named_after(hits: Column, at: Column, width: int) -> Column:
     return F.array_min(F.transform(near, lambda h: F.struct(h["line"], (-h["size"]).alias("size"), h["s"], h["key"])))["key"]
 
 
-def with_banks(df: DataFrame, ocr: Column | None = None) -> DataFrame:
-    """Adds bank_key, bank, bank_confidence, bank_source; beneficiary_bank with _confidence, _source."""
-    ocr = F.lit(False) if ocr is None else ocr
+SCRATCH = "_t _hits _codes _names _code_labels _plain _theirs _lead _head _foot _ours _strong _sure _guess _by_code _named _by_name _any_code _near".split()
+
+
+def _code_after(at: Column, width: int) -> Column:
+    return F.get(F.filter("_codes", lambda c: (c["s"] >= at) & (c["e"] <= at + width)), F.lit(0))["key"]
+
+
+def _points(x: Column) -> Column:
+    return (x.cast("decimal(7,3)") / 1000).cast("decimal(4,3)")
+
+
+def _scan(df: DataFrame, ocr: Column | None) -> DataFrame:
+    """What is found in the text once: names, codes, labels of the receiver's bank, and the families that they name."""
     df = cleaned(df)
-    df = once(df, _t=repair(F.col("t"), ocr))
+    df = once(df, _t=repair(F.col("t"), F.lit(False) if ocr is None else ocr))
     t = F.col("_t")
     code = lambda x: F.struct(x["s"], x["e"], key_of_code(x["v"]).alias("key"))
     df = once(
@@ -105,14 +116,17 @@ def with_banks(df: DataFrame, ocr: Column | None = None) -> DataFrame:
         _code_labels=spans(t, r"(?i:BENEFICIARY\s*BANK\s*(?:[A-Z]+\s*)?CODE\b)"),
         _plain=F.filter(spans(t, r"(?i:\bBANK\s*(?:NAME|CODE)\b|\bBANK\s*:)"), lambda x: F.substring(t, F.greatest(x["s"] - MARK_BEFORE + 1, F.lit(1)), F.least(x["s"], F.lit(MARK_BEFORE))).rlike(r"(?im)\b(?:PAYEE|RECIPIENT|BENEFICIARY|CREDIT)\b|^[ \t]*TO[ \t]*$")),
     )
-    code_after = lambda at, width: F.get(F.filter("_codes", lambda c: (c["s"] >= at) & (c["e"] <= at + width)), F.lit(0))["key"]
     hits = F.col("_hits")
     theirs = F.concat(
-        F.transform("_names", lambda x: F.coalesce(_named_after(hits, x["e"], NAME_AFTER), code_after(x["e"], CODE_AFTER))),
-        F.transform("_code_labels", lambda x: code_after(x["e"], CODE_AFTER)),
+        F.transform("_names", lambda x: F.coalesce(_named_after(hits, x["e"], NAME_AFTER), _code_after(x["e"], CODE_AFTER))),
+        F.transform("_code_labels", lambda x: _code_after(x["e"], CODE_AFTER)),
         F.transform("_plain", lambda x: _named_after(hits, x["e"], GENERIC_AFTER)),
     )
-    df = once(df, _theirs=F.filter(F.transform(theirs, root_of), lambda k: k.isNotNull()))
+    return once(df, _theirs=F.filter(F.transform(theirs, root_of), lambda k: k.isNotNull()))
+
+
+def _issuer(df: DataFrame) -> DataFrame:
+    t = F.col("_t")
     lead = F.length(F.regexp_extract(t, r"^\s*", 0))
     head = F.length(F.substring_index(F.substring(t, lead + 1, F.length(t)), "\n", 1))
     whole = F.length(F.rtrim(F.regexp_replace(t, r"\s+$", "")))
@@ -124,8 +138,16 @@ def with_banks(df: DataFrame, ocr: Column | None = None) -> DataFrame:
     df = once(df, _strong=F.filter("_ours", strong))
     first_code = F.slice(F.filter(F.transform("_codes", lambda c: F.struct(c["s"], c["e"], c["key"], root_of(c["key"]).alias("root"), F.lit(False).alias("portal"), F.lit(8).alias("size"), F.lit(0).alias("line"))), lambda c: c["root"].isNotNull()), 1, 1)
     weak = F.concat("_ours", F.filter(first_code, lambda c: ~F.array_contains("_theirs", c["root"])))
-    df = once(df, _sure=_best(F.col("_strong")), _guess=_best(weak))
-    df = once(df, _by_code=code_after(F.get("_code_labels", F.lit(0))["e"], CODE_AFTER), _named=F.coalesce(_named_after(hits, F.get("_names", F.lit(0))["e"], NAME_AFTER), code_after(F.get("_names", F.lit(0))["e"], NAME_AFTER)))
+    df = once(df, _sure=_best(F.col("_strong")))
+    df = once(df, _guess=F.when(F.col("_sure").isNull(), _best(weak)))
+    bank = F.coalesce("_sure", "_guess")
+    why = F.coalesce(F.concat(F.lit("strong_signal:"), "_sure"), F.concat(F.lit("bare_mention:"), "_guess"), F.when(F.trim("t") == "", "empty_text").otherwise("no_bank_signal"))
+    return df.withColumns({"bank_key": bank, "bank": name_of(bank), "bank_confidence": _points(F.when(F.col("_sure").isNotNull(), 950).when(F.col("_guess").isNotNull(), 600).otherwise(0)), "bank_source": why})
+
+
+def _receiver(df: DataFrame) -> DataFrame:
+    hits, first = F.col("_hits"), F.get("_names", F.lit(0))["e"]
+    df = once(df, _by_code=_code_after(F.get("_code_labels", F.lit(0))["e"], CODE_AFTER), _named=F.coalesce(_named_after(hits, first, NAME_AFTER), _code_after(first, NAME_AFTER)))
     generic = F.get(F.filter(F.transform("_plain", lambda x: _named_after(hits, x["e"], GENERIC_AFTER)), lambda k: k.isNotNull()), F.lit(0))
     some_mark = (F.size("_names") > 0) | (F.size("_code_labels") > 0) | generic.isNotNull()
     longest = F.array_min(F.transform("_hits", lambda h: F.struct((-h["size"]).alias("size"), h["s"], h["key"])))["key"]
@@ -134,16 +156,15 @@ def with_banks(df: DataFrame, ocr: Column | None = None) -> DataFrame:
     key = F.coalesce("_by_code", "_by_name", "_any_code", "_near")
     points = F.when(agree, 970).when(F.col("_by_code").isNotNull(), 900).when(F.col("_by_name").isNotNull(), 850).when(F.col("_any_code").isNotNull(), 700).when(F.col("_near").isNotNull(), 550).otherwise(0)
     why = F.when(agree, "label_code+name:").when(F.col("_by_code").isNotNull(), "label_code:").when(F.col("_by_name").isNotNull(), "label_name:").when(F.col("_any_code").isNotNull(), "bic_scan:").when(F.col("_near").isNotNull(), "alias_near_label:")
-    dec = lambda x: (x.cast("decimal(7,3)") / 1000).cast("decimal(4,3)")
-    empty = F.trim("t") == ""
-    bank = F.coalesce("_sure", "_guess")
-    df = df.withColumns(
-        {
-            "bank_key": bank, "bank": name_of(bank),
-            "bank_confidence": dec(F.when(F.col("_sure").isNotNull(), 950).when(F.col("_guess").isNotNull(), 600).otherwise(0)),
-            "bank_source": F.coalesce(F.concat(F.lit("strong_signal:"), "_sure"), F.concat(F.lit("bare_mention:"), "_guess"), F.when(empty, "empty_text").otherwise("no_bank_signal")),
-            "beneficiary_bank": name_of(key), "beneficiary_bank_confidence": dec(points),
-            "beneficiary_bank_source": F.coalesce(F.concat(why, key), F.when(empty, "empty_text").otherwise("no_beneficiary_signal")),
-        }
-    )
-    return df.drop("_t", "_hits", "_codes", "_names", "_code_labels", "_plain", "_theirs", "_lead", "_head", "_foot", "_ours", "_strong", "_sure", "_guess", "_by_code", "_named", "_by_name", "_any_code", "_near")
+    source = F.coalesce(F.concat(why, key), F.when(F.trim("t") == "", "empty_text").otherwise("no_beneficiary_signal"))
+    return df.withColumns({"beneficiary_bank": name_of(key), "beneficiary_bank_confidence": _points(points), "beneficiary_bank_source": source})
+
+
+def with_issuer(df: DataFrame, ocr: Column | None = None) -> DataFrame:
+    """Adds bank_key, bank, bank_confidence, bank_source."""
+    return _issuer(_scan(df, ocr)).drop(*SCRATCH)
+
+
+def with_banks(df: DataFrame, ocr: Column | None = None) -> DataFrame:
+    """Adds what with_issuer does; beneficiary_bank with _confidence, _source."""
+    return _receiver(_issuer(_scan(df, ocr))).drop(*SCRATCH)

@@ -166,14 +166,14 @@ def reference_pattern() -> str:
 
 
 def any_of(names: list[str], blank: str) -> str:
-    """A pattern of names (in any case) with common beginnings written once, so that a scan fails early; the longest match first.
+    """A pattern of names, in capitals, with common beginnings written once, so that a scan fails early; the longest match first.
 
     Names are words with one blank between; `blank` is the pattern that a blank stands for.
     """
     tree: dict = {}
     for name in names:
         at = tree
-        for c in name.lower():
+        for c in name.upper():
             at = at.setdefault(blank if c == " " else re.escape(c), {})
         at[""] = {}
 

@@ -47,7 +47,7 @@ def fees_and_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {DATE_SQL} AS date, 1 AS date_tier, count(*) AS n FROM orders GROUP BY ALL")
 def dates_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates in four formats, month first for one bank; print stamps never win."""
-    found = banks.with_banks(receipts(spark, sf_dir))
+    found = banks.with_issuer(receipts(spark, sf_dir))
     return dates.with_date(found, F.col("bank_key")).groupBy("date", "date_tier").agg(F.count("*").alias("n"))
 
 
