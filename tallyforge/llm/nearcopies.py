@@ -1,9 +1,14 @@
 """Near copies: texts whose sets of five-word shingles have a similarity of 0.8 or more, all of them.
 
-Shingles are hashed as operator 8 does it; the similarity is that of the sets of hashes (64
-bits). Fingerprints aren't used for the search: at a similarity of 0.8 they differ in about
-15 % of their bits, beyond what balls in segments can reach. Candidates come from prefix
-filtering instead, which misses no pair at any size of the input. A partner of a text of n
+They are searched for by SimHash and multi-index hashing, as operator 8 does it: each set
+of shingles has a 64-bit fingerprint, and connected fingerprints within `radius` bits, found
+by segments and their balls (see simhash), make groups of candidates. An exact check
+follows: the similarity is that of the sets of hashes (64 bits), see setlinks.
+
+Texts at a similarity of 0.8 differ in about 15 % of the bits of their fingerprints, beyond
+what balls in segments can reach. The exact way for those is prefix filtering, which misses
+no pair at any size of the input; of its candidates only those that the fingerprints haven't
+joined are compared. A partner of a text of n
 shingles shares at least ceil(4 n / 5) of them; so, in any order that all texts keep, two partners
 share at least k of their first n - ceil(4 n / 5) + k shingles each, for any k up to that.
 
@@ -14,7 +19,7 @@ Only the first shingles of each text are shuffled. Sizes of partners differ by a
 most, so each text stands in the band of its size and in the next, and meets others of the
 same band only. Where fewer than k of a text's shingles occur in others, it has no partner
 there. The rest are candidates of each other where they meet; connected ones of a band are
-compared by their sets, see setlinks. Groups are connected components of all links.
+compared by their sets too. Groups are connected components of all links.
 
 Texts with no words are one group. Null text counts as empty. Repeated rows are copies. An
 empty table gives no rows. Extra columns, whatever their names, are kept by drop_near_copies.
@@ -32,7 +37,7 @@ from pyspark.sql import types as T
 from .common import forget, likely_in, materialize, small_batches, spare_names
 from .components import components
 from .setlinks import set_links
-from .simhash import shingle_hashes
+from .simhash import BLOCK, fold, linked, shingle_hashes
 
 #: Two texts are near copies if they share so much of the union of their shingles: 4 / 5.
 SIMILAR = (4, 5)
@@ -49,16 +54,22 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.int64), *(h.view(np.int64) for h in shingle_hashes(text or "", width))]))
 
 
+def set_fingerprint(items: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of hashes, as a signed long."""
+    return int(np.uint64(fold(items[a : a + BLOCK].view(np.uint64) for a in range(0, len(items), BLOCK))).view(np.int64))
+
+
 def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, digest (16 bytes of the set), items (hashes of the distinct shingles, sorted) of every row."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("digest", T.BinaryType()), T.StructField("items", T.ArrayType(T.LongType()))])
+    """doc_id, digest (16 bytes of the set), fp (its fingerprint), items (hashes of the distinct shingles, sorted) of every row."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("digest", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for b in batches:
             sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            fps = pa.array([set_fingerprint(s) for s in sets], pa.int64())
             items = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([b.column(0), digests, items], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([b.column(0), digests, fps, items], names=schema.fieldNames())
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -153,28 +164,50 @@ def candidate_groups(sets: DataFrame, copies: DataFrame, rounds: int = 2) -> Dat
     return groups.select(F.expr(f"node div {STRIDE}").alias("node"), "root", F.expr(f"root div {STRIDE}").alias("lead"))
 
 
-def near_groups(docs: DataFrame, width: int = 5, dense: int = 128) -> DataFrame:
+def fingerprint_groups(prints: DataFrame, radius: int, segments: int | None = None) -> DataFrame:
+    """node, root, lead: groups of texts (node, fp) whose fingerprints links within radius bits join, with the least of them; none of one text."""
+    some = materialize(prints.select("fp").distinct(), "prints")
+    found = linked(some, radius, segments).select(F.col("node").alias("fp"), "root")
+    named = materialize(prints.join(found, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")), "by-print")
+    leads = named.groupBy("root").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = materialize(named.join(leads, "root").select("node", "root", "lead"), "prints-met")
+    forget(some, found, named)
+    return groups
+
+
+def not_joined(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """The groups (node, root, lead) whose texts aren't all of one component of found (node, root; without the roots)."""
+    own = groups.join(found.select("node", F.col("root").alias("own")), "node", "left").select("root", F.coalesce("own", "node").alias("own"))
+    apart = own.groupBy("root").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a < b").select("root")
+    return groups.join(apart, "root", "left_semi")
+
+
+def near_groups(docs: DataFrame, width: int = 5, dense: int = 128, radius: int = 4) -> DataFrame:
     """doc_id, rid (a number of the row), root (the group), component_id (least doc_id of the group)."""
     with small_batches(docs.sparkSession):
-        named = _named_groups(docs, width, dense)
+        named = _named_groups(docs, width, dense, radius)
     # Null ids come last, so a group has the id null only if all its rows do.
     least = materialize(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return named.join(least, "root").select("doc_id", "rid", "root", "component_id")
 
 
-def _named_groups(docs: DataFrame, width: int, dense: int) -> DataFrame:
+def _named_groups(docs: DataFrame, width: int, dense: int, radius: int) -> DataFrame:
     """doc_id, rid, root of every row, written."""
     rows = materialize(shingle_sets(docs, width).withColumn("rid", F.monotonically_increasing_id()), "shingles")
     names, sets = rows.select("doc_id", "rid", "digest"), rows.select(F.col("rid").alias("node"), "items")
     nodes = materialize(names.groupBy("digest").agg(F.min("rid").alias("node")), "nodes")
     # Of equal sets only the first is compared.
     copies = materialize(names.join(nodes, "digest").where("rid <> node").select(F.col("rid").alias("node")), "copies")
+    near = fingerprint_groups(rows.select(F.col("rid").alias("node"), "fp").join(copies, "node", "left_anti"), radius)
+    alike = set_links(sets, near, *SIMILAR, dense)
+    joined = components(alike)
     candidates = materialize(candidate_groups(sets, copies), "candidates")
-    edges = materialize(set_links(sets, candidates, *SIMILAR, dense), "alike")
-    found = materialize(components(edges), "found")
+    rest = materialize(not_joined(candidates, joined), "rest")
+    apart = set_links(sets, rest, *SIMILAR, dense)
+    found = components(alike.unionByName(apart))
     roots = nodes.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     named = materialize(names.join(roots, "digest").select("doc_id", "rid", "root"), "named")
-    forget(rows, nodes, copies, candidates, edges, found)
+    forget(rows, nodes, copies, near, alike, joined, candidates, rest, apart, found)
     return named
 
 

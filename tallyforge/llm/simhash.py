@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import forget, materialize
 from .components import components
 from .denselinks import dense_links
 
@@ -49,15 +49,20 @@ def shingle_hashes(text: str, width: int):
         yield np.array([digest(joined[s:e], 42) for s, e in spans], np.uint64)
 
 
-def fingerprint(text: str, width: int) -> int:
-    """The 64-bit SimHash of a text's word shingles."""
+def fold(blocks) -> int:
+    """The 64-bit SimHash of hashes (unsigned), given in blocks: a bit is 1 if it is set in over half of them."""
     total, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text, width):
+    for h in blocks:
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(h)
     return int(np.packbits((2 * total > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str, width: int) -> int:
+    """The 64-bit SimHash of a text's word shingles."""
+    return fold(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every row."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())])
@@ -113,12 +118,16 @@ def _flip(part: Column):
     return lambda v: part.bitwiseXOR(v)
 
 
-def near_links(nodes: DataFrame, radius: int = 4, segments: int = 3, dense: int = 256) -> DataFrame:
-    """x, y: pairs of distinct fingerprints within radius bits, for long lists only those that join them."""
+def meetings(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
+    """key, fp, home, n (length of the list): the lists in which fingerprints may meet, written."""
     lists = filed(nodes, radius, segments)
     sizes = lists.groupBy("key").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("homes > 0 and n > 1")
     # The lists come from a small table but aren't small: never to be broadcast.
-    met = materialize(lists.hint("merge").join(sizes, "key").select("key", "fp", "home", "n"), "lists")
+    return materialize(lists.hint("merge").join(sizes, "key").select("key", "fp", "home", "n"), "lists")
+
+
+def links_of(met: DataFrame, radius: int, dense: int) -> DataFrame:
+    """x, y: pairs of distinct fingerprints within radius bits in lists (see meetings), for long lists only those that join them."""
     groups = met.where(F.col("n") <= dense).groupBy("key").agg(F.collect_list(F.struct("fp", "home")).alias("g"))
 
     def verified(q: Column) -> Column:
@@ -130,12 +139,25 @@ def near_links(nodes: DataFrame, radius: int = 4, segments: int = 3, dense: int
     return near.unionByName(dense_links(hot, radius, 1)).distinct()
 
 
+def near_links(nodes: DataFrame, radius: int = 4, segments: int = 3, dense: int = 256) -> DataFrame:
+    """x, y: pairs of distinct fingerprints within radius bits, for long lists only those that join them."""
+    return links_of(meetings(nodes, radius, segments), radius, dense)
+
+
+def linked(nodes: DataFrame, radius: int = 4, segments: int | None = None, dense: int = 256) -> DataFrame:
+    """node, root (the smallest reachable) of distinct fingerprints (fp) that links within radius bits join, but of the roots."""
+    segments = segments or (3 if nodes.count() < 1 << 25 else 2)  # same links either way; wider parts keep lists short
+    met = meetings(nodes, radius, segments)
+    found = components(links_of(met, radius, dense))
+    forget(met)
+    return found
+
+
 def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, segments: int | None = None, dense: int = 256) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) of every row."""
     rows = materialize(fingerprints(docs, width), "fingerprints")
     nodes = materialize(rows.select("fp").distinct(), "nodes")
-    segments = segments or (3 if nodes.count() < 1 << 25 else 2)  # same links either way; wider parts keep lists short
-    found = components(near_links(nodes, radius, segments, dense))
+    found = linked(nodes, radius, segments, dense)
     roots = materialize(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
     named = rows.join(roots, "fp")
     least = materialize(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")

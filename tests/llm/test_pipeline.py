@@ -188,3 +188,30 @@ def test_near_groups_of_long_lists(spark):
         got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_groups(docs, dense=dense).collect()}
         assert [got[i] for i in range(len(texts))] == label
     assert 2 < len(set(label)) < len(texts)
+
+
+def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
+    """With nothing but the fingerprints: pairs within the radius are joined if their sets are alike, at any radius, and no others."""
+    texts, sim = edited_pairs(200, (1, 2, 9, 10))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sets = [nearcopies.shingle_set(t) for _, t in texts]
+    fps = [plain_fold(s) for s in sets]
+    none = docs.select(*[F.col("doc_id").alias(c) for c in ("node", "root", "lead")]).where("false")
+    monkeypatch.setattr(nearcopies, "candidate_groups", lambda *a, **k: none)
+    for radius in (4, 8):
+        got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_groups(docs, radius=radius).collect()}
+        want = [s >= 0.8 and (a ^ b).bit_count() <= radius for s, a, b in zip(sim, fps[::2], fps[1::2])]
+        assert [got[2 * k + 1] == 2 * k for k in range(200)] == want and all(got[2 * k] == 2 * k for k in range(200))
+        assert 50 < sum(want) < 150
+    assert any(s < 0.8 and (a ^ b).bit_count() <= 8 for s, a, b in zip(sim, fps[::2], fps[1::2]))
+
+
+def plain_fold(hashes):
+    n = [sum(int(h) >> i & 1 for h in hashes) for i in range(64)]
+    return sum(1 << i for i in range(64) if 2 * n[i] > len(hashes))
+
+
+def test_texts_that_fingerprints_joined_are_not_compared_again(spark):
+    groups = spark.createDataFrame([(1, 10, 1), (2, 10, 1), (3, 10, 1), (4, 11, 4), (5, 11, 4), (1, 12, 1), (6, 12, 1)], "node long, root long, lead long")
+    found = spark.createDataFrame([(2, 1), (3, 1), (5, 0)], "node long, root long")
+    assert sorted({r["root"] for r in nearcopies.not_joined(groups, found).collect()}) == [11, 12]
