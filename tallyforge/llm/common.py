@@ -38,15 +38,17 @@ def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """While it lasts, tables that are written pass Python in batches of so many rows: for rows that hold long arrays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20):
+    """While it lasts, tables that are written pass Python in batches of so many rows and bytes at most: for rows that hold long arrays."""
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, str(v))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def forget(*tables: DataFrame) -> None:
@@ -60,6 +62,11 @@ def forget(*tables: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has the driver collect garbage: Spark then deletes the shuffle files of queries that have ended."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def spare_names(taken: list[str], *names: str) -> list[str]:
     """The names, with as many underscores before each as it takes to clash with none of taken (case aside)."""
     used = {c.lower() for c in taken}

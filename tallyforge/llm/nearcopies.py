@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, likely_in, materialize, small_batches, spare_names
+from .common import forget, likely_in, materialize, small_batches, spare_names, sweep
 from .components import components
 from .setlinks import set_links
 from .simhash import BLOCK, fold, linked, shingle_hashes
@@ -203,6 +203,7 @@ def _named_groups(docs: DataFrame, width: int, dense: int, radius: int) -> DataF
     joined = components(alike)
     candidates = materialize(candidate_groups(sets, copies), "candidates")
     rest = materialize(not_joined(candidates, joined), "rest")
+    sweep(docs.sparkSession)
     apart = set_links(sets, rest, *SIMILAR, dense)
     found = components(alike.unionByName(apart))
     roots = nodes.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))

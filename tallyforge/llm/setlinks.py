@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, likely_in, materialize
+from .common import forget, likely_in, materialize, sweep
 
 #: Elements of a group compared in one task and of one side of a block, members of that, elements indexed at once.
 HELD, BLOCK, INDEXED = 1 << 21, 4096, 1 << 18
@@ -50,6 +50,11 @@ def forest(a: np.ndarray, sa: list[np.ndarray], b: np.ndarray, sb: list[np.ndarr
     return out
 
 
+def _met(rows: tuple, cols: tuple, num: int, den: int) -> list[tuple[int, int]]:
+    """Spanning forest of a block's rows and columns, each (nodes, sets)."""
+    return forest(np.array(rows[0]), rows[1], np.array(cols[0]), cols[1], num, den) if rows[0] and cols[0] else []
+
+
 def _edges(found: list) -> pa.RecordBatch:
     xy = np.array(found, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(xy[:, 0].copy()), pa.array(xy[:, 1].copy())], names=["x", "y"])
@@ -68,7 +73,7 @@ def _short(rows: DataFrame, num: int, den: int) -> DataFrame:
                         found += forest(np.array(nodes), sets, np.array(nodes), sets, num, den)
                     last, nodes, sets = root, [], []
                 nodes.append(node)
-                sets.append(values[ends[k - 1] if k else 0 : ends[k]])
+                sets.append(values[ends[k - 1] if k else 0 : ends[k]].copy())
             yield _edges(found)
         if len(nodes) > 1:
             yield _edges(forest(np.array(nodes), sets, np.array(nodes), sets, num, den))
@@ -76,12 +81,20 @@ def _short(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("root", "node", "items").repartition("root").sortWithinPartitions("root").mapInArrow(run, "x long, y long")
 
 
-def _long(rows: DataFrame, num: int, den: int) -> DataFrame:
+def _led(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The members of long groups, and if they are far (not similar enough to the least member), written."""
     first = rows.where("node = lead").select("root", F.col("items").alias("own"))
     shared = F.size(F.array_intersect("items", "own"))
     far = den * shared < num * (F.size("items") + F.size("own") - shared)
-    led = materialize(rows.join(first, "root").withColumn("far", far).drop("own"), "led")
-    direct = led.where("not far and node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
+    return materialize(rows.join(first, "root").withColumn("far", far).drop("own"), "led")
+
+
+def _blocks(led: DataFrame) -> DataFrame:
+    """root, node, items, row, c, r: the far members (row) of each group, and all, at the blocks where they meet.
+
+    Blocks are dealt one by one: left to itself, Spark keeps the partitions of the join by
+    root, and one task gets all blocks of a group.
+    """
     n, size = F.count("*"), F.sum(F.size("items"))
     m, rest = F.count_if("far"), F.sum(F.when(F.col("far"), F.size("items")).otherwise(0))
     blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / HELD)).cast("int")
@@ -90,15 +103,32 @@ def _long(rows: DataFrame, num: int, den: int) -> DataFrame:
     r, c = F.pmod(F.xxhash64("node", F.lit("r")), "nr").cast("int"), F.pmod(F.xxhash64("node", F.lit("c")), "nc").cast("int")
     every = dealt.select("root", "node", "items", F.lit(False).alias("row"), c.alias("c"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"))
     odd = dealt.where("far").select("root", "node", "items", F.lit(True).alias("row"), F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("c"), r.alias("r"))
+    return every.unionByName(odd.select(every.columns)).repartition("root", "r", "c")
 
-    def run(pdf):
-        import pandas as pd
 
-        a, b = pdf[pdf["row"]], pdf[~pdf["row"]]
-        out = forest(a["node"].to_numpy(), list(a["items"]), b["node"].to_numpy(), list(b["items"]), num, den) if len(a) and len(b) else []
-        return pd.DataFrame(out, columns=["x", "y"], dtype="int64")
+def _long(led: DataFrame, num: int, den: int) -> DataFrame:
+    direct = led.where("not far and node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
+
+    # Blocks pass Python in small batches: as groups of pandas each would be one batch, outside the heap.
+    def run(batches):
+        last, rows, cols = None, ([], []), ([], [])
+        for batch in batches:
+            found = []
+            values = batch.column(5).flatten().to_numpy()
+            ends = np.cumsum(batch.column(5).value_lengths().to_numpy())
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            for k, (key, node, row) in enumerate(zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                if key != last:
+                    found += _met(rows, cols, num, den)
+                    last, rows, cols = key, ([], []), ([], [])
+                nodes, sets = rows if row else cols
+                nodes.append(node)
+                sets.append(values[ends[k - 1] if k else 0 : ends[k]].copy())
+            yield _edges(found)
+        yield _edges(_met(rows, cols, num, den))
 
-    return direct.unionByName(every.unionByName(odd.select(every.columns)).groupBy("root", "r", "c").applyInPandas(run, "x long, y long"))
+    dealt = _blocks(led).select("root", "r", "c", "node", "row", "items").sortWithinPartitions("root", "r", "c")
+    return direct.unionByName(dealt.mapInArrow(run, "x long, y long"))
 
 
 def set_links(sets: DataFrame, groups: DataFrame, num: int, den: int, dense: int) -> DataFrame:
@@ -107,6 +137,10 @@ def set_links(sets: DataFrame, groups: DataFrame, num: int, den: int, dense: int
     small = (F.count("*") <= dense) & (F.sum(F.size("items")) <= HELD)
     sizes = materialize(rows.groupBy("root").agg(small.alias("small")), "sizes")
     part = lambda kind: rows.join(sizes.where(kind).select("root"), "root", "left_semi")
-    links = materialize(_short(part("small"), num, den).unionByName(_long(part("not small"), num, den)), "set-links")
+    short = materialize(_short(part("small"), num, den), "short-links")
+    led = _led(part("not small"), num, den)
     forget(rows, sizes)
-    return links
+    sweep(sets.sparkSession)
+    long = materialize(_long(led, num, den), "long-links")
+    forget(led)
+    return short.unionByName(long)

@@ -1,5 +1,6 @@
 """Near copies and the pipeline against brute force."""
 
+import re
 from collections import Counter, defaultdict
 
 import duckdb
@@ -7,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyforge.llm import nearcopies, quality, queries
+from tallyforge.llm import nearcopies, quality, queries, setlinks
 from tallyforge.llm.common import table
 
 from .test_operators import SPACES, check_packing, lower, rows, split
@@ -215,3 +216,22 @@ def test_texts_that_fingerprints_joined_are_not_compared_again(spark):
     groups = spark.createDataFrame([(1, 10, 1), (2, 10, 1), (3, 10, 1), (4, 11, 4), (5, 11, 4), (1, 12, 1), (6, 12, 1)], "node long, root long, lead long")
     found = spark.createDataFrame([(2, 1), (3, 1), (5, 0)], "node long, root long")
     assert sorted({r["root"] for r in nearcopies.not_joined(groups, found).collect()}) == [11, 12]
+
+
+def test_blocks_of_a_long_group_are_tasks_of_their_own(spark, monkeypatch):
+    """A group's blocks don't follow its root to one task, whichever join Spark takes."""
+    seen, long = [], setlinks._long
+    monkeypatch.setattr(setlinks, "_long", lambda *a: seen.append(long(*a)) or seen[-1])
+    monkeypatch.setattr(setlinks, "BLOCK", 5)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        sets = spark.range(40).select(F.col("id").alias("node"), F.array(*[F.col("id") * 100 + i for i in range(20)]).alias("items"))
+        groups = spark.range(40).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("root"), F.lit(0).cast("long").alias("lead"))
+        assert setlinks.set_links(sets, groups, 4, 5, 8).count() == 0
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert re.search(r"Exchange hashpartitioning\(root#\d+L?, r#\d+, c#\d+", plan[plan.index("hashpartitioning") - 9 : plan.index("SortMergeJoin")])
+    assert "FlatMapGroupsInPandas" not in plan  # a whole block would be one batch
